@@ -1,20 +1,26 @@
 """N-gram Jaccard join by vertical partitioning.
 
 The global order of n-grams is the order of their 64-bit hashes. It is cut into fragments, and every document's set with
-it. Two sets that link at threshold t differ in at most H = (1-t)/(1+t) * (|A|+|B|) n-grams, so of H+1 fragments at least
-one holds the same n-grams in both: documents that agree on a fragment are candidates. H depends on size, so sizes form
-levels, each reaching as far as its sizes can link, and a document takes part in its own level and the one below.
-
-Candidates become classes by connected components, equal sets having been one node from the start. In a class, overlaps
-are counted fragment by fragment over the n-grams that sets share, and summed per pair. A large class is cut into blocks
-of documents and every pair of blocks is a task of its own, so no task grows with a class; only links come back, as
-trees, and components of those are the result. Fragments that are empty in both documents agree too; the few documents
-that have one are compared apart, bucket by bucket, lest they tie unrelated classes together.
+it. Two sets that link at threshold t differ in at most H = (1-t)/(1+t) * (|A|+|B|) n-grams, so of m > H fragments at
+least m-H hold the same n-grams in both: documents that agree on a fragment are candidates. H depends on size, so sizes
+form levels; a document takes part in its own level, and in the one below if that holds sizes it can link with.
+
+Fragments that are empty in both agree too, which says nothing. So m has spare fragments, more than a set of the level
+nearly ever has empty; sets that have still more empty ones also send those, and are compared apart, bucket by bucket.
+Where small sizes leave no room for that, the fragment is the order's prefix: its n-grams stand alone.
+
+Candidates become classes by connected components, equal sets having been one node from the start. A class too large for
+one task is first broken up by an exact bound: sets keep a bitmap of the parities of their n-grams' hash buckets, and no
+two bitmaps differ in more bits than their sets in n-grams. In a class, overlaps are counted fragment by fragment over
+the n-grams that sets share, and summed per pair. What is still large is cut into blocks of documents and every pair of
+blocks is a task of its own, so no task grows with a class; only links come back, as trees, and components of those are
+the result.
 """
 
 from __future__ import annotations
 
-import functools
+import bisect
+import math
 
 import numpy as np
 import pandas as pd
@@ -25,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import components, splitmix, written
 
-#: A verifying task's documents and n-grams, of each of two blocks; shared n-grams of a fragment; words remembered; rows held back.
-BLOCK_DOCS, BLOCK_GRAMS, FRAGMENT, KNOWN_WORDS, HELD_ROWS = 1200, 1_000_000, 4096, 1_000_000, 2_000_000
-DOC, SAME, LINK, EMPTY = 0, 1, 2, 3
+#: A verifying task's documents and n-grams, and a bitmap task's documents, of each of two blocks; shared n-grams of a
+#: fragment; words remembered; rows held back.
+BLOCK_DOCS, BLOCK_GRAMS, BLOCK_MAPS, FRAGMENT, KNOWN_WORDS, HELD_ROWS = 1200, 1_000_000, 16_000, 4096, 500_000, 2_000_000
 
 
 class _Hashes(dict):
@@ -57,65 +63,113 @@ class Shingler:
 
 
 class Levels:
-    """Size levels for a threshold of `percent`: level k holds sizes from starts[k], and none can link beyond starts[k+2]."""
+    """Size levels for a threshold of `percent`: level k holds sizes from starts[k]; none links beyond the middle of the next."""
 
     def __init__(self, percent: int):
-        self.percent, self.starts = percent, [1]
+        self.percent, self.starts, self._m, self._cuts = percent, [1], {}, {}
 
-    def _reach(self, size: int) -> int:
+    def reach(self, size: int) -> int:
+        """The largest size that can link with this."""
         return 100 * size // self.percent
 
+    def differ(self, sizes):
+        """H, from the sum of two sizes."""
+        return (100 - self.percent) * sizes // (100 + self.percent)
+
     def of(self, size: int) -> int:
         while self.starts[-1] <= size:
-            self.starts.append(self._reach(self.starts[-1]) + 1)
-        k = len(self.starts) - 2
-        while self.starts[k] > size:
-            k -= 1
-        return k
-
-    @functools.cache  # noqa: B019
-    def fragments(self, k: int) -> int:
-        """H+1 for the largest pair of the level; 1 where only equal sets link."""
-        a = self.starts[k + 1] - 1
-        return (100 - self.percent) * (a + self._reach(a)) // (100 + self.percent) + 1
-
-    @functools.cache  # noqa: B019
+            self.starts.append(self.reach(self.reach(self.starts[-1]) + 1) + 1)
+        return bisect.bisect_right(self.starts, size) - 1
+
+    def taken(self, size: int) -> list[int]:
+        """The levels of a size."""
+        k = self.of(size)
+        return [k, k - 1] if k and self.reach(self.starts[k] - 1) >= size else [k]
+
+    def fragments(self, k: int) -> tuple[int, int]:
+        """m and the spare ones among them; (0, 0) where the prefix serves, (1, 0) where only equal sets link."""
+        if k not in self._m:
+            a = self.starts[k + 1] - 1
+            least = self.differ(a + self.reach(a)) + 1
+            n, m, self._m[k] = self.starts[k], least, (0, 0)
+            for _ in range(12):
+                empty = m * (1 - 1 / m) ** n
+                more = least + math.ceil(empty + 3 * math.sqrt(empty))
+                if least == 1 or more == m:
+                    self._m[k] = (m, m - least)
+                    break
+                m = more
+        return self._m[k]
+
     def cuts(self, m: int) -> np.ndarray:
-        return np.array([(i << 64) // m for i in range(1, m)], np.uint64)
+        if m not in self._cuts:
+            self._cuts[m] = np.array([(i << 64) // m for i in range(1, m)], np.uint64)
+        return self._cuts[m]
 
     def signatures(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of a set: a hash for each fragment that holds something, and for each that is empty, in both of its levels."""
-        own = self.of(len(grams))
+        """Of a set: a hash for each fragment that holds something, and for each empty one where they are too many, by level."""
+        n = len(grams)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(grams), dtype=np.uint64)])
-        full, empty = [], []
-        for k in (own, own - 1):
-            if k < 0 or (m := self.fragments(k)) < 2:
+        full, empty = [NONE], [NONE]
+        for k in self.taken(n):
+            m, spare = self.fragments(k)
+            if m == 1:
                 continue
-            at = np.concatenate([[0], np.searchsorted(grams, self.cuts(m)), [len(grams)]])
+            if not m:
+                full.append(splitmix(grams[: n - -(-n * self.percent // 100) + 1] ^ splitmix(np.array([k + (1 << 60)], np.uint64))))
+                continue
+            at = np.concatenate([[0], np.searchsorted(grams, self.cuts(m)), [n]])
             name = np.arange(m, dtype=np.uint64) + np.uint64(k << 40)
             holds = at[1:] > at[:-1]
             full.append(splitmix((total[at[1:]] - total[at[:-1]]) ^ splitmix(name))[holds])
-            if not holds.all():
+            if m - holds.sum() > spare:
                 empty.append(splitmix(name[~holds]))
-        none = np.zeros(0, np.uint64)
-        return np.concatenate(full or [none]), np.concatenate(empty or [none])
+        return np.concatenate(full), np.concatenate(empty)
+
+
+NONE = np.zeros(0, np.uint64)
+
+
+def node_of(grams: np.ndarray) -> int:
+    """A set's 64-bit name, from two sums over it and its size; as a signed number."""
+    a, b = np.bitwise_xor.reduce(splitmix(grams)), np.add.reduce(splitmix(~grams), dtype=np.uint64)
+    x = splitmix(np.array([a], np.uint64) ^ splitmix(np.array([b], np.uint64) + np.uint64(len(grams))))
+    return int(x.view(np.int64)[0])
+
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """Parities of the hash buckets, at least two buckets for each n-gram; bucket numbers are low bits, so that halves fold."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((splitmix(grams ^ np.uint64(0xB17)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def _scan(n: int, percent: int):
-    """Documents, and what makes candidates: of equal fragments within a task only one row each goes on, others are links."""
+
+def _documents(n: int, percent: int):
+    """(key, at, text) -> (key, at, node, n, bits)."""
 
     def run(batches):
-        shingle, levels = Shingler(n), Levels(percent)
-        names = ["kind", "a", "b", "n", "at"]
+        shingle = Shingler(n)
+        for b in batches:
+            sets = [shingle(x.as_py()) for x in b.column(2)]
+            cols = [pa.array([node_of(g) if len(g) else 0 for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([bitmap(g) if len(g) else b"" for g in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["key", "at", "node", "n", "bits"])
+
+    return run
 
-        def rows(kind, a, b, n=None, at=None):
-            k = len(b)
-            zero = np.zeros(k, np.int64)
-            cols = [a if isinstance(a, pa.Array) else a.view(np.int64), b.view(np.int64), zero if n is None else n, zero if at is None else at]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(k, kind, np.int32)), *(c if isinstance(c, pa.Array) else pa.array(c) for c in cols)], names=names)
 
+def _signatures(n: int, percent: int):
+    """Texts -> (sig, node, empty): of equal fragments within a task one row goes on, and the others as links to it,
+    each link being a signature of its own that two rows have."""
+
+    def run(batches):
+        shingle, levels = Shingler(n), Levels(percent)
         held, count, gone = [], 0, set()
 
+        def rows(sig, node, empty):
+            for a in range(0, len(sig), 200_000):
+                z = slice(a, a + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(sig[z].view(np.int64)), pa.array(node[z]), pa.array(np.full(len(node[z]), empty))], names=["sig", "node", "empty"])
+
         def flush():
             sig, node, empty = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((node, sig))
@@ -125,29 +179,21 @@ def _scan(n: int, percent: int):
             link = ~first & ~empty & (node != least)
             if link.any():
                 pairs = np.unique(np.stack([least[link], node[link]], 1), axis=0)
-                yield rows(LINK, pairs[:, 0].copy(), pairs[:, 1].copy())
-            for kind, mask in ((SAME, first & ~empty), (EMPTY, empty)):
-                at = np.flatnonzero(mask)
-                for a in range(0, len(at), 100_000):
-                    yield rows(kind, sig[at[a : a + 100_000]], node[at[a : a + 100_000]])
+                name = splitmix(splitmix(pairs[:, 0].copy().view(np.uint64)) ^ pairs[:, 1].copy().view(np.uint64))
+                yield from rows(np.repeat(name, 2), pairs.ravel(), False)
+            for mask, e in ((first & ~empty, False), (empty, True)):
+                yield from rows(sig[mask], node[mask], e)
 
         for b in batches:
-            sizes, nodes = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64)
-            for i, text in enumerate(b.column(2)):
+            for text in b.column(0):
                 g = shingle(text.as_py())
-                if not len(g):
-                    continue
-                sizes[i] = len(g)
-                nodes[i] = splitmix(np.array([int(np.bitwise_xor.reduce(splitmix(g))) ^ int(splitmix(np.cumsum(g[-1:]))[0])], np.uint64))[0] + np.uint64(len(g))
-                if (node := int(nodes[i])) in gone:
+                if not len(g) or (node := node_of(g)) in gone:
                     continue
                 gone.add(node)
                 full, empty = levels.signatures(g)
-                k = len(full) + len(empty)
-                if k:
-                    held.append((np.concatenate([full, empty]), np.full(k, nodes[i], np.uint64), np.arange(k) >= len(full)))
+                if k := len(full) + len(empty):
+                    held.append((np.concatenate([full, empty]), np.full(k, node, np.int64), np.arange(k) >= len(full)))
                     count += k
-            yield rows(DOC, b.column(0), nodes, sizes, b.column(1))
             if count > HELD_ROWS:
                 yield from flush()
                 held, count, gone = [], 0, set()
@@ -157,6 +203,51 @@ def _scan(n: int, percent: int):
     return run
 
 
+def _forest(near, n: int) -> list[tuple[int, int]]:
+    """Trees over 0..n-1: near(front, rest) says which of rest some of front is near to."""
+    rest, edges = np.arange(n), []
+    while len(rest):
+        root, front, rest = rest[0], rest[:1], rest[1:]
+        while len(front) and len(rest):
+            hit = near(front, rest)
+            front, rest = rest[hit], rest[~hit]
+            edges.extend((root, x) for x in front)
+    return edges
+
+
+def _compatible(percent: int):
+    """A pair of blocks of a large class: trees of documents whose bitmaps and sizes leave a link possible."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        levels = Levels(percent)
+        pdf = pdf.drop_duplicates("node")
+        size, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        own = np.fromiter(map(levels.of, size.tolist()), np.int64, len(size))
+        maps = [np.frombuffer(x, np.uint64) for x in pdf["bits"]]
+        out = []
+        for k in np.unique(own):
+            at = np.flatnonzero((own == k) | ((own == k + 1) & (size <= levels.reach(levels.starts[k + 1] - 1))))
+            words = min(len(maps[i]) for i in at)
+            bits = np.stack([np.bitwise_xor.reduce(maps[i].reshape(-1, words), axis=0) for i in at])
+            s = size[at]
+
+            def near(front, rest, bits=bits, s=s):
+                hit = np.zeros(len(rest), np.bool_)
+                step = max(1, 4_000_000 // (len(rest) * bits.shape[1] + 1))
+                for a in range(0, len(front), step):
+                    f, r = front[a : a + step], rest[~hit]
+                    if not len(r):
+                        break
+                    apart = np.bitwise_count(bits[f][:, None, :] ^ bits[r][None, :, :]).sum(2, dtype=np.int64)
+                    hit[np.flatnonzero(~hit)] = (apart <= levels.differ(s[f][:, None] + s[r][None, :])).any(0)
+                return hit
+
+            out.extend((node[at[a]], node[at[b]]) for a, b in _forest(near, len(at)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
 def _verify(n: int, percent: int):
     """One pair of blocks of a class: trees of links, and how many documents each node links to."""
 
@@ -195,17 +286,7 @@ def _verify(n: int, percent: int):
             a, b = np.nonzero(np.triu(link))
             return pd.DataFrame({"a": node[a], "b": node[b], "la": copies[b], "lb": copies[a]})
         links = link @ copies
-        tree, seen = [], np.zeros(k, np.bool_)
-        for r in range(k):
-            if seen[r]:
-                continue
-            seen[r] = True
-            front = np.array([r])
-            while len(front):
-                new = link[front].any(0) & ~seen
-                seen |= new
-                front = np.flatnonzero(new)
-                tree.extend((r, x) for x in front)
+        tree = _forest(lambda front, rest: link[np.ix_(front, rest)].any(0), k)
         a, b = (np.array(x, np.int64) for x in zip(*tree)) if tree else (np.zeros(0, np.int64),) * 2
         some = np.flatnonzero(links > 0)
         return pd.DataFrame({"a": np.concatenate([node[a], node[some]]), "b": np.concatenate([node[b], node[some]]), "la": np.concatenate([np.zeros(len(a), np.int64), links[some]]), "lb": np.zeros(len(a) + len(some), np.int64)})
@@ -213,6 +294,12 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _in_pairs(rows: DataFrame) -> DataFrame:
+    """Each row once for every pair (i, j) of its group's blocks that its block is in."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+
 def classes(docs: DataFrame, *, n: int = 3, percent: int = 90, key: str = "doc_id") -> DataFrame:
     """Per row of docs: key, n_shingles, component_id (the least key that links reach, its own included), n_links.
 
@@ -222,22 +309,31 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90, key: str = "doc_i
     64-bit hashes: two different sets are taken for one with a chance of 2^-64 a pair.
     """
     at = F.xxhash64(key, "text")
-    seen = written(docs.select(F.col(key).cast("long").alias("a"), at.alias("at"), "text").mapInArrow(_scan(n, percent), "kind int, a bigint, b bigint, n bigint, at bigint"), "fragments")
-    rows = seen.where(f"kind = {DOC}").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "at")
-    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("at").alias("at"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
-
-    # Each task gave one row per fragment, so a group here has as many rows as there were tasks, at most.
-    agree = seen.where(f"kind = {SAME}").select("b", F.min("b").over(Window.partitionBy("a")).alias("m")).where("b <> m")
-    pairs = agree.unionByName(seen.where(f"kind = {LINK}").select("b", F.col("a").alias("m")))
-    group = written(components(pairs, "b", "m").select("node", F.col("component").alias("class")), "classes")
-    bare = seen.where(f"kind = {EMPTY}").select(F.col("a").alias("group"), F.col("b").alias("node")).distinct()
-    several = bare.groupBy("group").count().where("count > 1").select("group")
-    bare = bare.join(several, "group").join(group, "node", "left").select("group", "node", F.coalesce("class", "node").alias("class"), F.lit(1).alias("empty"))
+    rows = written(docs.select(F.col(key).cast("long").alias("key"), at.alias("at"), "text").mapInArrow(_documents(n, percent), "key bigint, at bigint, node bigint, n bigint, bits binary"), "sets")
+    nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("at").alias("at"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")
+
+    # Each task gave one row per fragment (and links as pairs), so a group here has as many rows as there were tasks, at most.
+    w = Window.partitionBy("sig")
+    sigs = docs.select("text").mapInArrow(_signatures(n, percent), "sig bigint, node bigint, empty boolean")
+    agree = sigs.select("sig", "node", "empty", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"))
+    agree = written(agree.where("least <> most and (empty or node <> least)"), "agreeing")
+    group = written(components(agree.where("not empty"), "node", "least").select("node", F.col("component").alias("class")), "classes")
+
+    # Large classes, broken up by the bitmaps' bound.
+    sizes = group.join(nodes.select("node", "n"), "node")
+    large = sizes.groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams")).where((F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)).withColumn("blocks", F.ceil(F.col("docs") / BLOCK_MAPS).cast("int"))
+    bits = rows.where("n > 0").select("node", "n", "bits").join(sizes.join(large.select("class", "blocks"), "class").select("node", "class", "blocks"), "node").dropDuplicates(["node"])
+    bits = _in_pairs(bits.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))).select("class", "i", "j", "node", "n", "bits")
+    likely = components(bits.groupBy("class", "i", "j").applyInPandas(_compatible(percent), "a bigint, b bigint"))
+    parts = group.join(large.select("class", F.lit(True).alias("large")), "class", "left").join(likely, "node", "left")
+    group = written(parts.select("node", F.when(F.col("large"), F.coalesce("component", "node")).otherwise(F.col("class")).alias("class")), "parts")
+
+    bare = agree.where("empty").select(F.col("sig").alias("group"), "node").unionByName(agree.where("empty").select(F.col("sig").alias("group"), F.col("least").alias("node"))).distinct()
+    bare = bare.join(group, "node", "left").select("group", "node", F.coalesce("class", "node").alias("class"), F.lit(1).alias("empty"))
     members = group.select(F.col("class").alias("group"), "node", "class", F.lit(0).alias("empty")).unionByName(bare).join(nodes, "node")
-    size = members.groupBy("group", "empty").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    size = members.groupBy("group", "empty").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("docs")).where("docs > 1").drop("docs")
     members = members.join(size, ["group", "empty"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = members.withColumn("other", other).select("group", "empty", "node", "class", "copies", "block", "at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    tasks = _in_pairs(members).select("group", "empty", "node", "class", "copies", "block", "at", "i", "j")
     texts = docs.select(at.alias("at"), "text")
     found = tasks.join(texts, "at").groupBy("group", "i", "j", "empty").applyInPandas(_verify(n, percent), "a bigint, b bigint, la bigint, lb bigint")
     found = written(found, "links")
