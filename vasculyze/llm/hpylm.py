@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import splitmix, written
 
-BLOCK_CHARS, HUBS, TOP_OF_BLOCK = 8_000_000, 23, 256
+BLOCK_CHARS, HUBS, TOP_OF_BLOCK = 6_000_000, 23, 256
 #: Sweeps: burn-in and averaged, of each round; customers of a dish seated one by one, beyond which they sit down in groups.
 BURN, KEEP, ONE_BY_ONE = 2, 4, 48
 DISCOUNT, STRENGTH = (0.75, 0.6), (2.0, 50.0)
