@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +56,40 @@ def ordered_buckets(df: DataFrame, key: str, buckets: int) -> list[int]:
 
 
 def bucket_of(key, starts: list[int]) -> F.Column:
-    """The number of a key's bucket; null keys go to the last, where they come last."""
+    """(number of a key's bucket, whether the key begins it) as a struct; null keys go to the last, where they come last.
+
+    The search is of two steps over about the square root of the starts each.
+    """
     if not starts:
-        return F.lit(0)
-    bounds = F.array(*[F.lit(x).cast("long") for x in starts])
-    return F.when(key.isNull(), F.lit(len(starts) - 1)).otherwise(F.greatest(F.lit(0), F.size(F.filter(bounds, lambda b: b <= key)) - 1))
+        return F.struct(F.lit(0).alias("no"), F.lit(False).alias("first"))
+    step = max(1, int(len(starts) ** 0.5))
+    long = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda xs: F.greatest(F.lit(0), F.size(F.filter(xs, lambda b: b <= key)) - 1)
+    part = below(long(starts[::step]))
+    within = F.get(F.array(*[long(starts[a : a + step]) for a in range(0, len(starts), step)]), part)
+    no, first = (part * step + below(within)).cast("int"), F.array_contains(within, key)
+    return F.when(key.isNull(), F.struct(F.lit(len(starts) - 1).alias("no"), F.lit(False).alias("first"))).otherwise(F.struct(no.alias("no"), first.alias("first")))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts reach Python workers in batches of at most so many rows: a batch's memory is bounded by rows times text length."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, rows)
+
+
+def together(batches, rows: int):
+    """Arrow batches joined until they have so many rows."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

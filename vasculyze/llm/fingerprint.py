@@ -15,6 +15,8 @@ from .common import bucket_of, ordered_buckets, partitions
 
 SEPARATOR = "[\\x20\\x09-\\x0D]+"
 K, ONE_IN, LEAST = 5, 8, 8
+#: Buckets of the key order at most.
+MOST_BUCKETS = 20_000
 #: Hashes are non-negative 63-bit numbers.
 TOP = (1 << 63) - 1
 
@@ -76,14 +78,13 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     last; equal keys are ordered by text.
     """
     spark = docs.sparkSession
-    starts = ordered_buckets(docs, key, 16 * partitions(spark))
+    starts = ordered_buckets(docs, key, min(MOST_BUCKETS, 8 * partitions(spark)))
     n = max(1, len(starts))
     d = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = bucket_of(F.col("key"), starts)
-    copies = F.array(F.struct(own.alias("bucket"), F.lit(False).alias("end")))
-    if starts:
-        first = F.col("key").isin(starts)
-        copies = F.when(first, F.concat(copies, F.array(F.struct(F.pmod(own - 1, F.lit(n)).alias("bucket"), F.lit(True).alias("end"))))).otherwise(copies)
+    d = d.withColumn("own", bucket_of(F.col("key"), starts))
+    copies = F.array(F.struct(F.col("own.no").alias("bucket"), F.lit(False).alias("end")))
+    before = F.array(F.struct(F.pmod(F.col("own.no") - 1, F.lit(n)).alias("bucket"), F.lit(True).alias("end")))
+    copies = F.when(F.col("own.first"), F.concat(copies, before)).otherwise(copies)
     d = d.select("key", "text", F.explode(copies).alias("b")).select("key", "text", "b.bucket", "b.end")
     d = d.repartition("bucket")
     w = Window.partitionBy("bucket").orderBy("end", F.col("key").asc_nulls_last(), "text")
