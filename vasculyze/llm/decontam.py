@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Errors allowed per hundred characters; shorter items count only where they stand exactly; characters of items looked for at once.
 PERCENT, LEAST, AT_ONCE = 8, 24, 4_000_000
 _GAPS = re.compile(r"[\W_]+")
@@ -146,6 +148,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, ke
     empty table on either side gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id bigint, distance int, end int"
     out = None
     for items in _blocks(benchmark):
@@ -166,6 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, ke
 def clean(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose text holds an item; one pass a block of items, nothing is shuffled."""
     spark = docs.sparkSession
+    small_batches(spark)
     for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(tuple(items))
         at = docs.columns.index("text")

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix, written
+from .common import small_batches, splitmix, together, written
 
 BLOCK_CHARS, HUBS, TOP_OF_BLOCK = 6_000_000, 23, 256
 #: Sweeps: burn-in and averaged, of each round; customers of a dish seated one by one, beyond which they sit down in groups.
@@ -286,7 +286,7 @@ def _round(tables, customers, types, n_ctx):
 
     def run(batches):
         t, c = np.zeros(n_ctx + 1, np.int64), np.zeros(n_ctx + 1, np.int64)
-        for b in batches:
+        for b in together(batches, 20_000):
             s, names = _load(b, tables, customers, types)
             for no in range(BURN):
                 s.sweep(names, no)
@@ -301,9 +301,9 @@ def _answers(tables, customers, types, n_ctx):
     """Words to (block, idx, count, log10 P in each context asked for), probabilities averaged over the sweeps after burn-in."""
 
     def run(batches):
-        for whole in batches:
-            for a in range(0, whole.num_rows, 50_000):
-                b = whole.slice(a, 50_000)
+        for whole in together(batches, 20_000):
+            for a in range(0, whole.num_rows, 20_000):
+                b = whole.slice(a, 20_000)
                 s, names = _load(b, tables, customers, types)
                 rows_of = np.fromiter(map(len, b.column(4)), np.int64, b.num_rows)
                 asked = b.column(5).flatten().to_numpy().astype(np.int64)
@@ -374,6 +374,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", mod: int = 7, held: int = 2,
     Learns from rows whose crc32 of the key's text, modulo `mod`, is not `held`. Null texts are empty: one end token. A
     null key hashes as empty text. Repeated rows each count and come back; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     blocks = written(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(_blocks(mod, held), _BLOCK), "lm-blocks")
     tops = blocks.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.top", "x.top_n").where(F.octet_length("top") > 0)
     hub = [bytes(r["top"]) for r in tops.groupBy("top").agg(F.sum("top_n").alias("n")).orderBy(F.desc("n"), "top").limit(hubs).collect()]

@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, splitmix, written
+from .common import components, small_batches, splitmix, written
 
 #: A verifying task's documents and n-grams, and a bitmap task's documents, of each of two blocks; shared n-grams of a
 #: fragment; words remembered; rows held back.
-BLOCK_DOCS, BLOCK_GRAMS, BLOCK_MAPS, FRAGMENT, KNOWN_WORDS, HELD_ROWS = 1200, 1_000_000, 16_000, 4096, 500_000, 2_000_000
+BLOCK_DOCS, BLOCK_GRAMS, BLOCK_MAPS, FRAGMENT, KNOWN_WORDS, HELD_ROWS = 1200, 1_000_000, 16_000, 4096, 200_000, 1_500_000
 
 
 class _Hashes(dict):
@@ -308,6 +308,7 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90, key: str = "doc_i
     repeated rows each come back. A null key is never a component's least unless all of its keys are null. Sets stand by
     64-bit hashes: two different sets are taken for one with a chance of 2^-64 a pair.
     """
+    small_batches(docs.sparkSession)
     at = F.xxhash64(key, "text")
     rows = written(docs.select(F.col(key).cast("long").alias("key"), at.alias("at"), "text").mapInArrow(_documents(n, percent), "key bigint, at bigint, node bigint, n bigint, bits binary"), "sets")
     nodes = written(rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("at").alias("at"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "nodes")

@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, small_batches
 
 UNKNOWN = "und"
 #: Symbols of a language's sample, labelled documents it comes from, letters with a symbol of their own, and the most languages.
 SYMBOLS, SAMPLE_DOCS, LETTERS, LANGUAGES = 16_000, 64, 46, 512
-SEGMENT, CHUNK, MISS = 256, 2_000_000, 1 << 15
+SEGMENT, CHUNK, MISS = 256, 1_000_000, 1 << 15
 
 
 @functools.cache
@@ -126,11 +126,11 @@ class Model:
         order = np.argsort(-size, kind="stable")
         doc, start, size = doc[order], start[order], size[order]
         active = np.searchsorted(-size, -np.arange(SEGMENT), side="left") if len(size) else np.zeros(SEGMENT, int)
-        grid = seq[np.minimum(start[None, :] + np.arange(SEGMENT)[:, None], len(seq) - 1)].astype(np.int64) if len(size) else None
+        grid = seq[np.minimum(start[None, :] + np.arange(SEGMENT)[:, None], len(seq) - 1)] if len(size) else None
         out = np.zeros((len(texts), len(self.langs)))
         for k, t in enumerate(self.tables):
-            state = np.zeros(len(doc), np.int64)
-            phrases = np.ones(len(doc), np.int64)
+            state = np.zeros(len(doc), np.int32)
+            phrases = np.ones(len(doc), np.int32)
             for j in range(SEGMENT):
                 n = active[j]
                 if not n:
@@ -193,6 +193,7 @@ def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, *keep, lang_pred, score) per row. Null texts and texts with no letter are `und` with score 0; repeated rows
     and ties give each its row, the least language winning a tie; an empty table or model gives no rows or only `und`."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(F.col(key), *keep, F.col("text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1]), "lang_pred string", "score double"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, small_batches
 
 #: Labelled documents that the classifier learns from at most.
 SAMPLE_DOCS = 12_000
@@ -99,6 +99,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", host: s
     empty text; repeated rows each come back; with no labels all evidence is 0 and every rate a half.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     marks = labels.where(F.col("quality").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg((F.max("quality") > 0).cast("int").alias("y"))
     picked = [(r[0], r[1]) for r in marks.orderBy(F.xxhash64(F.lit("quality"), key), key).limit(SAMPLE_DOCS).collect()]
     few = spark.createDataFrame(picked, f"`{key}` bigint, y int")

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, ordered_buckets, partitions, running_total, splitmix, written
+from .common import bucket_of, ordered_buckets, partitions, running_total, small_batches, splitmix, written
 
 MAGIC = b"VTOK1\0\0\0"
 HEAD = struct.Struct("<8sQQQIIq")
-#: Ids of a shard, from which it is closed; entries of the table of known words, from which it is emptied.
-SHARD_IDS, KNOWN_WORDS = 1 << 20, 400_000
+#: Ids of a shard, from which it is closed; entries of the table of known words, from which it is emptied; buckets of the key order at most.
+SHARD_IDS, KNOWN_WORDS, MOST_BUCKETS = 1 << 20, 150_000, 20_000
 NO_KEY = -(1 << 63)
 
 
@@ -199,9 +199,10 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 5
 
     Null keys come last and are in no index; null texts are only the end id; an empty table gives no shards.
     """
-    starts = ordered_buckets(docs, key, 8 * partitions(docs.sparkSession))
+    small_batches(docs.sparkSession)
+    starts = ordered_buckets(docs, key, min(MOST_BUCKETS, 8 * partitions(docs.sparkSession)))
     d = docs.select(F.col(key).cast("long").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("bucket", bucket_of(F.col("key"), starts)).repartition("bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_last(), "text")
+    d = d.withColumn("bucket", bucket_of(F.col("key"), starts)["no"]).repartition("bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_last(), "text")
 
     def run(batches):
         enc = encoder(path)

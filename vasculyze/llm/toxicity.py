@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, small_batches
 
 #: The bounded sample of labelled rows that the models learn from.
 TOXIC_DOCS, ORDINARY_DOCS = 4000, 8000
@@ -26,6 +26,8 @@ TOXIC_DOCS, ORDINARY_DOCS = 4000, 8000
 WORD_LEAST, BIGRAM_LEAST, MOST_ENTRIES = 5, 16, 300_000
 #: The likelihood ratio statistic (one degree of freedom) from which class counts are kept, over the log of the sample's words.
 APART = 2.5
+#: Different bigrams that a counting task holds before it sends them on.
+HELD_PAIRS = 150_000
 #: Stands for all rarer words, whose share a class hands to one shared distribution over them; no word is empty.
 RARE = b""
 _SPACES = bytes(c if (48 <= c < 58 or 97 <= c < 123 or c >= 128) else (c + 32 if 65 <= c < 91 else 32) for c in range(256))
@@ -142,16 +144,23 @@ def _counts(sample: DataFrame) -> tuple[list, list, tuple[int, int]]:
 
     def run(batches):
         uni, bi = Counter(), Counter()
+
+        def flush():
+            for kind, rows in ((0, ((b"", w, t, n) for (w, t), n in uni.items())), (1, ((v, w, t, n) for (v, w, t), n in bi.items()))):
+                if not (rows := list(rows)):
+                    continue
+                v, w, t, n = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(v), pa.int32()), pa.array(v, pa.binary()), pa.array(w, pa.binary()), pa.array(t, pa.int32()), pa.array(n, pa.int64())], names=["kind", "v", "w", "toxic", "n"])
+
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ws = words(text)
                 uni.update((w, toxic) for w in ws)
                 bi.update((v, w, toxic) for v, w in zip(ws, ws[1:]))
-        for kind, rows in ((0, ((b"", w, t, n) for (w, t), n in uni.items())), (1, ((v, w, t, n) for (v, w, t), n in bi.items()))):
-            rows = list(rows)
-            for a in range(0, len(rows), 100_000):
-                v, w, t, n = zip(*rows[a : a + 100_000])
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(v), pa.int32()), pa.array(v, pa.binary()), pa.array(w, pa.binary()), pa.array(t, pa.int32()), pa.array(n, pa.int64())], names=["kind", "v", "w", "toxic", "n"])
+                if len(bi) > HELD_PAIRS:
+                    yield from flush()
+                    uni, bi = Counter(), Counter()
+        yield from flush()
 
     rows = sample.mapInArrow(run, "kind int, v binary, w binary, toxic int, n bigint")
     cells = rows.groupBy("kind", "v", "w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o")).persist()
@@ -167,6 +176,7 @@ def _counts(sample: DataFrame) -> tuple[list, list, tuple[int, int]]:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     """labels: key, toxic. Doubly labelled keys count as toxic if any label is; null labels are left out."""
+    small_batches(docs.sparkSession)
     marks = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max("toxic").alias("toxic"))
     rate = marks.agg(F.avg(F.col("toxic").cast("double")), F.count(F.lit(1))).head()
     pick = lambda t, n: [r[0] for r in marks.where(F.col("toxic") == t).orderBy(F.xxhash64(F.lit("sample"), key), key).limit(n).select(key).collect()]
