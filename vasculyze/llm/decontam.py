@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 #: Errors allowed per hundred characters; shorter items count only where they stand exactly; characters of items looked for at once.
 PERCENT, LEAST, AT_ONCE = 8, 24, 4_000_000
@@ -161,7 +161,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, ke
                 at, item, d, e = zip(*rows) if rows else ((),) * 4
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(e, pa.int32())], names=[key, "item_id", "distance", "end"])
 
-        part = docs.select(key, "text").mapInArrow(run, schema)
+        part = docs.select(key, "text").mapInArrow(tidy(run), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -179,7 +179,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT) -> D
             for b in batches:
                 yield b.filter(pa.array([not look.find(x.as_py(), first=True) for x in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, splitmix, together, written
+from .common import small_batches, splitmix, tidy, together, written
 
 BLOCK_CHARS, HUBS, TOP_OF_BLOCK = 6_000_000, 23, 256
 #: Sweeps: burn-in and averaged, of each round; customers of a dish seated one by one, beyond which they sit down in groups.
@@ -375,12 +375,12 @@ def score(docs: DataFrame, *, key: str = "doc_id", mod: int = 7, held: int = 2,
     null key hashes as empty text. Repeated rows each count and come back; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    blocks = written(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(_blocks(mod, held), _BLOCK), "lm-blocks")
+    blocks = written(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(tidy(_blocks(mod, held)), _BLOCK), "lm-blocks")
     tops = blocks.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.top", "x.top_n").where(F.octet_length("top") > 0)
     hub = [bytes(r["top"]) for r in tops.groupBy("top").agg(F.sum("top_n").alias("n")).orderBy(F.desc("n"), "top").limit(hubs).collect()]
     n_ctx = len(hub) + 1
-    asked = blocks.select("block", "sizes", "held", "tokens", "words").mapInArrow(_asked(hub), "word binary, block bigint, idx int, ctx binary, n binary")
-    words = written(asked.repartition("word").sortWithinPartitions("word", "block").mapInArrow(_merge(n_ctx), _WORDS), "lm-words")
+    asked = blocks.select("block", "sizes", "held", "tokens", "words").mapInArrow(tidy(_asked(hub)), "word binary, block bigint, idx int, ctx binary, n binary")
+    words = written(asked.repartition("word").sortWithinPartitions("word", "block").mapInArrow(tidy(_merge(n_ctx)), _WORDS), "lm-words")
 
     def gathered(rows: DataFrame) -> list[int]:
         got = rows.select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
@@ -390,10 +390,10 @@ def score(docs: DataFrame, *, key: str = "doc_id", mod: int = 7, held: int = 2,
     tables, customers, n, v = np.array(first[: n_ctx + 1], float), np.array(first[n_ctx + 1 : 2 * n_ctx + 2], float), first[-2], first[-1]
     rows = words.where("word is not null").drop("totals")
     for _ in range(rounds):
-        got = gathered(rows.mapInArrow(_round(tables, customers, v, n_ctx), "totals array<bigint>"))
+        got = gathered(rows.mapInArrow(tidy(_round(tables, customers, v, n_ctx)), "totals array<bigint>"))
         if got:
             tables, customers = np.array(got[: n_ctx + 1], float), np.array(got[n_ctx + 1 :], float)
-    answers = rows.mapInArrow(_answers(tables, customers, v, n_ctx), "block bigint, idx int, n bigint, ctx binary, p binary")
+    answers = rows.mapInArrow(tidy(_answers(tables, customers, v, n_ctx)), "block bigint, idx int, n bigint, ctx binary, p binary")
     keep = blocks.select("block", "keys", "nulls", "sizes", "held", "tokens", "words")
     out = keep.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(hub, n, v), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, splitmix, written
+from .common import components, release, small_batches, splitmix, tidy, written
 
 #: A verifying task's documents and n-grams, and a bitmap task's documents, of each of two blocks; shared n-grams of a
 #: fragment; words remembered; rows held back.
@@ -154,7 +154,7 @@ def _documents(n: int, percent: int):
             cols = [pa.array([node_of(g) if len(g) else 0 for g in sets], pa.int64()), pa.array([len(g) for g in sets], pa.int64()), pa.array([bitmap(g) if len(g) else b"" for g in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["key", "at", "node", "n", "bits"])
 
-    return run
+    return tidy(run)
 
 
 def _signatures(n: int, percent: int):
@@ -200,7 +200,7 @@ def _signatures(n: int, percent: int):
         if held:
             yield from flush()
 
-    return run
+    return tidy(run)
 
 
 def _forest(near, n: int) -> list[tuple[int, int]]:
@@ -243,6 +243,8 @@ def _compatible(percent: int):
                 return hit
 
             out.extend((node[at[a]], node[at[b]]) for a, b in _forest(near, len(at)))
+        if len(pdf) > BLOCK_DOCS:
+            release()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -282,6 +284,9 @@ def _verify(n: int, percent: int):
         if empty:
             link &= group[:, None] != group[None, :]
         node, copies = pdf["node"].to_numpy(), pdf["copies"].to_numpy()
+        del overlap, o, grams, doc, order
+        if k > BLOCK_DOCS // 4:
+            release()
         if empty:
             a, b = np.nonzero(np.triu(link))
             return pd.DataFrame({"a": node[a], "b": node[b], "la": copies[b], "lb": copies[a]})

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, small_batches
+from .common import crc32_of, small_batches, tidy
 
 UNKNOWN = "und"
 #: Symbols of a language's sample, labelled documents it comes from, letters with a symbol of their own, and the most languages.
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str
             langs, scores = shared.value.predict(b.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:n], "lang_pred", "score"])
 
-    return out.mapInArrow(run, schema)
+    return out.mapInArrow(tidy(run), schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

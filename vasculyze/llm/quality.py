@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, small_batches
+from .common import crc32_of, small_batches, tidy
 
 #: Labelled documents that the classifier learns from at most.
 SAMPLE_DOCS = 12_000
@@ -119,7 +119,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", host: s
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(shared.value(features(b.column(3).to_pylist())))], names=[key, host, path, "evidence"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    d = docs.select(key, host, path, "text").mapInArrow(evidence, f"`{key}` {kinds[key]}, `{host}` {kinds[host]}, `{path}` {kinds[path]}, evidence double")
+    d = docs.select(key, host, path, "text").mapInArrow(tidy(evidence), f"`{key}` {kinds[key]}, `{host}` {kinds[host]}, `{path}` {kinds[path]}, evidence double")
     d = d.join(hosts, F.col(host).eqNullSafe(F.col("_h")), "left").drop("_h").join(below, F.col(host).eqNullSafe(F.col("_h")) & F.col(path).eqNullSafe(F.col("_p")), "left")
     d = d.withColumn("host_rate", F.coalesce("host_rate", F.lit(mu))).withColumn("path_rate", F.coalesce("path_rate", "host_rate"))
     odds = F.col("evidence") + F.log(F.col("path_rate") / (1 - F.col("path_rate")))

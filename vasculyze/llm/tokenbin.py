@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, ordered_buckets, partitions, running_total, small_batches, splitmix, written
+from .common import bucket_of, ordered_buckets, partitions, running_total, small_batches, splitmix, tidy, written
 
 MAGIC = b"VTOK1\0\0\0"
 HEAD = struct.Struct("<8sQQQIIq")
@@ -225,8 +225,9 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 5
                     n += len(x)
         if keys:
             yield close()
+        enc.reset()
 
-    return written(d.mapInArrow(run, "bucket int, seq int, n_docs bigint, n_ids bigint, shard binary"), "token-shards")
+    return written(d.mapInArrow(tidy(run), "bucket int, seq int, n_docs bigint, n_ids bigint, shard binary"), "token-shards")
 
 
 def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -247,7 +248,7 @@ def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
                     names=["bucket", "seq", "key", "within", "n_tokens", "ids_crc32"],
                 )
 
-    rows = shards.select("bucket", "seq", "shard").mapInArrow(run, "bucket int, seq int, key bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = shards.select("bucket", "seq", "shard").mapInArrow(tidy(run), "bucket int, seq int, key bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
     base = running_total(shards.select("bucket", "seq", "n_ids"), "bucket", ["seq"], "n_ids", "before").select("bucket", "seq", "before")
     return rows.join(base, ["bucket", "seq"]).select(F.col("key").alias(key), (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 

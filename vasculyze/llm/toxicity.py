@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, small_batches
+from .common import crc32_of, small_batches, tidy
 
 #: The bounded sample of labelled rows that the models learn from.
 TOXIC_DOCS, ORDINARY_DOCS = 4000, 8000
@@ -162,7 +162,7 @@ def _counts(sample: DataFrame) -> tuple[list, list, tuple[int, int]]:
                     uni, bi = Counter(), Counter()
         yield from flush()
 
-    rows = sample.mapInArrow(run, "kind int, v binary, w binary, toxic int, n bigint")
+    rows = sample.mapInArrow(tidy(run), "kind int, v binary, w binary, toxic int, n bigint")
     cells = rows.groupBy("kind", "v", "w").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("o")).persist()
     try:
         before = cells.where("kind = 1").groupBy("w").agg(F.count(F.lit(1)).alias("b"))
@@ -215,7 +215,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
             s = shared.value.score(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[key, "score", "predicted"])
 
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int")
+    return docs.select(key, "text").mapInArrow(tidy(run), f"`{key}` {docs.schema[key].dataType.simpleString()}, score double, predicted int")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
