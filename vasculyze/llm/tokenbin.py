@@ -11,7 +11,6 @@ for executors have no common file system but Spark's.
 from __future__ import annotations
 
 import functools
-import re
 import struct
 import zlib
 
@@ -25,7 +24,7 @@ from .common import bucket_of, ordered_buckets, partitions, running_total, small
 MAGIC = b"VTOK1\0\0\0"
 HEAD = struct.Struct("<8sQQQIIq")
 #: Ids of a shard, from which it is closed; entries of the table of known words, from which it is emptied; buckets of the key order at most.
-SHARD_IDS, KNOWN_WORDS, MOST_BUCKETS = 1 << 20, 150_000, 20_000
+SHARD_IDS, KNOWN_WORDS, MOST_BUCKETS = 1 << 20, 400_000, 20_000
 NO_KEY = -(1 << 63)
 
 
@@ -132,9 +131,11 @@ class Shard:
         return None if i < 0 else self.at_doc(i)
 
 
-#: Texts whose white space is single blanks and line ends between other characters can be cut there: the pieces that
-#: the tokenizer makes never cross a blank or line end that stands alone.
-_OTHER = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\0\x01]|<\|endoftext\|>")
+def cuttable(text: str) -> bool:
+    """Whether the text's white space is single blanks and line ends between other characters: the pieces that the
+    tokenizer makes never cross a blank or line end that stands alone, so such texts can be cut there."""
+    y = text.replace("\n", " ")
+    return y.isprintable() and "  " not in y and y[0] != " " and y[-1] != " " and "<|endoftext|>" not in y
 
 
 class Encoder:
@@ -144,6 +145,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.reset()
 
@@ -155,11 +157,20 @@ class Encoder:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
-        """words: \\1 marks the first of a text, \\0 one after a line end, else a blank stands before it."""
-        ids = self._raw([w[1:] if w[0] == "\1" else "\n" + w[1:] if w[0] == "\0" else " " + w for w in words])
+        """words: \\1 marks the first of a text, \\0 one after a line end, else a blank stands before it.
+
+        All are encoded as one text, a line each; line ends, which no word has, part the ids again.
+        """
+        flat = np.array(self._raw(["\n".join([w[1:] if w[0] < "\2" else " " + w for w in words])])[0], np.uint32)
+        cut = np.flatnonzero(flat == self.line)
+        if len(cut) != len(words) - 1:
+            raise ValueError("the tokenizer does not keep line ends apart")
+        sizes = np.diff(np.concatenate([[-1], cut, [len(flat)]])) - 1
+        flat = np.delete(flat, cut)
+        after = np.fromiter((w[0] == "\0" for w in words), np.bool_, len(words))
+        flat = np.insert(flat, (np.cumsum(sizes) - sizes)[after], self.line)
+        sizes = sizes + after
         self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))
         self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -172,13 +183,13 @@ class Encoder:
         for i, x in enumerate(texts):
             if not x:
                 out[i] = end
-            elif _OTHER.search(x):
+            elif not cuttable(x):
                 out[i] = np.array([*self._raw([x])[0], 0], np.uint32)
             else:
                 cut.append((i, ("\1" + x.replace("\n", " \0")).split(" ")))
         new = {w for _, ws in cut for w in ws} - self.known.keys()
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         ends = np.cumsum(self.sizes)
         for i, ws in cut:
             k = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
