@@ -1,4 +1,32 @@
 """Every query of the feature analytics, by name, with its SQL twin."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+import re
+
+from .operators import kernels, models
+from .plans.shared import SHARED
+from .sources import adapters
+
+_NAME = re.compile(r"\{(\w+)\}")
+
+
+def _spark(text: str):
+    names = sorted(set(_NAME.findall(text)))
+
+    def run(spark, sf_dir):
+        made = {n: getattr(adapters, n)(spark, sf_dir) if n in adapters.TWINS else adapters.table(spark, sf_dir, n) for n in names}
+        return spark.sql(text, **made)
+
+    return run
+
+
+def _twin(text: str) -> str:
+    names = sorted(set(_NAME.findall(text)))
+    need = [n for m in names if m in adapters.TWINS for n in (*adapters.NEEDS.get(m, ()), m)]
+    head = ", ".join(f"{n} AS ({adapters.TWINS[n]})" for n in dict.fromkeys(need))
+    return (f"WITH {head} " if head else "") + _NAME.sub(r"\1", text)
+
+
+QUERIES: dict = {name: _spark(text) for name, text in SHARED.items()} | kernels.QUERIES | models.QUERIES
+ORACLE_SQL: dict = {name: _twin(text) for name, text in SHARED.items()}
