@@ -146,21 +146,54 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
+        self.stops = {c: self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.reset()
 
     def reset(self):
         self.known: dict[str, int] = {}
-        self.flat, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.flat, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the words that were met most, half of the table at most."""
+        least = max(2, int(np.partition(self.hits, -(KNOWN_WORDS // 2))[-(KNOWN_WORDS // 2)]) + 1)
+        stay = self.hits >= least
+        place = np.cumsum(stay) - 1
+        self.known = {w: int(place[i]) for w, i in self.known.items() if stay[i]}
+        self.flat = self.flat[np.repeat(stay, self.sizes)]
+        self.sizes, self.hits = self.sizes[stay], self.hits[stay]
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: list[str]) -> None:
+        """Like encoded(), for words that may end in a full stop or comma after a letter: that is a piece of its own."""
+        tail = {w for w in words if w[-1] in ".," and w[-2:-1].isalpha() and w[-2:-1] > "\1"}
+        stems = {w[:-1] for w in tail} - self.known.keys()
+        self.encoded(list(stems.union(w for w in words if w not in tail)))
+        if not tail:
+            return
+        tail = list(tail)
+        ends = np.cumsum(self.sizes)
+        k = np.fromiter((self.known[w[:-1]] for w in tail), np.int64, len(tail))
+        n = self.sizes[k]
+        upto = np.cumsum(n)
+        flat = self.flat[np.repeat(ends[k] - n - (upto - n), n) + np.arange(upto[-1])]
+        flat = np.insert(flat, upto, np.fromiter((self.stops[w[-1]] for w in tail), np.uint32, len(tail)))
+        self._add(tail, flat, n + 1)
+
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+
+    def encoded(self, words: list[str]) -> None:
         """words: \\1 marks the first of a text, \\0 one after a line end, else a blank stands before it.
 
         All are encoded as one text, a line each; line ends, which no word has, part the ids again.
         """
+        if not words:
+            return
         flat = np.array(self._raw(["\n".join([w[1:] if w[0] < "\2" else " " + w for w in words])])[0], np.uint32)
         cut = np.flatnonzero(flat == self.line)
         if len(cut) != len(words) - 1:
@@ -170,13 +203,12 @@ class Encoder:
         after = np.fromiter((w[0] == "\0" for w in words), np.bool_, len(words))
         flat = np.insert(flat, (np.cumsum(sizes) - sizes)[after], self.line)
         sizes = sizes + after
-        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
-        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        self._add(words, flat, sizes)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text and the end id 0."""
         if len(self.known) > KNOWN_WORDS:
-            self.reset()
+            self.forget()
         end = np.zeros(1, np.uint32)
         out: list[np.ndarray | None] = [None] * len(texts)
         cut: list[tuple[int, list[str]]] = []
@@ -190,13 +222,16 @@ class Encoder:
         new = {w for _, ws in cut for w in ws} - self.known.keys()
         if new:
             self.learn(list(new))
-        ends = np.cumsum(self.sizes)
+        ends, met = np.cumsum(self.sizes), []
         for i, ws in cut:
             k = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+            met.append(k)
             n = self.sizes[k]
             upto = np.cumsum(n)
             at = np.repeat(ends[k] - n - (upto - n), n) + np.arange(upto[-1])
             out[i] = np.concatenate([self.flat[at], end])
+        if met:
+            self.hits += np.bincount(np.concatenate(met), minlength=len(self.hits))
         return out
 
 
@@ -236,7 +271,6 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 5
                     n += len(x)
         if keys:
             yield close()
-        enc.reset()
 
     return written(d.mapInArrow(tidy(run), "bucket int, seq int, n_docs bigint, n_ids bigint, shard binary"), "token-shards")
 
