@@ -64,7 +64,7 @@ def automaton(symbols: list[int]) -> tuple[list[dict[int, int]], list[int]]:
 
 
 def table(symbols: list[int], width: int) -> np.ndarray:
-    """Flat transitions: state * width + symbol -> next state; MISS is set where a new phrase begins."""
+    """Flat transitions: state * width + symbol -> next state; MISS is set where a new phrase begins, as every phrase does that starts at the root."""
     go, _ = automaton(symbols)
     root = np.zeros(width, np.uint16)
     for s, t in go[0].items():
@@ -74,8 +74,7 @@ def table(symbols: list[int], width: int) -> np.ndarray:
     for state, edges in enumerate(go):
         for s, t in edges.items():
             out[state, s] = t
-    for s in set(range(width)) - set(go[0]):
-        out[0, s] = MISS
+    out[0] = root | MISS
     return out.ravel()
 
 
@@ -130,7 +129,7 @@ class Model:
         out = np.zeros((len(texts), len(self.langs)))
         for k, t in enumerate(self.tables):
             state = np.zeros(len(doc), np.int32)
-            phrases = np.ones(len(doc), np.int32)
+            phrases = np.zeros(len(doc), np.int32)
             for j in range(SEGMENT):
                 n = active[j]
                 if not n:

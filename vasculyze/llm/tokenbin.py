@@ -138,8 +138,25 @@ def cuttable(text: str) -> bool:
     return y.isprintable() and "  " not in y and y[0] != " " and y[-1] != " " and "<|endoftext|>" not in y
 
 
+class _Known(dict):
+    """Words to numbers; a word that is met for the first time gets the next number and waits in `new`."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Encoder:
-    """Whole texts to ids by the tokenizers library, each distinct word once."""
+    """Whole texts to ids by the tokenizers library, each distinct word once.
+
+    Words are what stands between blanks; \\1 before a word marks the first of a text, \\0 one after a line end, and
+    any other has its blank before it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -148,90 +165,84 @@ class Encoder:
         (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.stops = {c: self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
         self.wide = self.tok.get_vocab_size() > 1 << 16
-        self.reset()
-
-    def reset(self):
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.flat, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Keeps the words that were met most, half of the table at most."""
         least = max(2, int(np.partition(self.hits, -(KNOWN_WORDS // 2))[-(KNOWN_WORDS // 2)]) + 1)
         stay = self.hits >= least
-        place = np.cumsum(stay) - 1
-        self.known = {w: int(place[i]) for w, i in self.known.items() if stay[i]}
+        self.known = _Known((w, i) for i, w in enumerate(w for w, yes in zip(self.known, stay.tolist()) if yes))
         self.flat = self.flat[np.repeat(stay, self.sizes)]
         self.sizes, self.hits = self.sizes[stay], self.hits[stay]
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Like encoded(), for words that may end in a full stop or comma after a letter: that is a piece of its own."""
-        tail = {w for w in words if w[-1] in ".," and w[-2:-1].isalpha() and w[-2:-1] > "\1"}
-        stems = {w[:-1] for w in tail} - self.known.keys()
-        self.encoded(list(stems.union(w for w in words if w not in tail)))
-        if not tail:
-            return
-        tail = list(tail)
-        ends = np.cumsum(self.sizes)
-        k = np.fromiter((self.known[w[:-1]] for w in tail), np.int64, len(tail))
-        n = self.sizes[k]
-        upto = np.cumsum(n)
-        flat = self.flat[np.repeat(ends[k] - n - (upto - n), n) + np.arange(upto[-1])]
-        flat = np.insert(flat, upto, np.fromiter((self.stops[w[-1]] for w in tail), np.uint32, len(tail)))
-        self._add(tail, flat, n + 1)
-
-    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
-        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
-
-    def encoded(self, words: list[str]) -> None:
-        """words: \\1 marks the first of a text, \\0 one after a line end, else a blank stands before it.
-
-        All are encoded as one text, a line each; line ends, which no word has, part the ids again.
-        """
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words without their marks: encoded as one text, a line each; line ends, which no word has, part the ids."""
         if not words:
-            return
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         flat = np.array(self._raw(["\n".join([w[1:] if w[0] < "\2" else " " + w for w in words])])[0], np.uint32)
         cut = np.flatnonzero(flat == self.line)
         if len(cut) != len(words) - 1:
             raise ValueError("the tokenizer does not keep line ends apart")
-        sizes = np.diff(np.concatenate([[-1], cut, [len(flat)]])) - 1
-        flat = np.delete(flat, cut)
-        after = np.fromiter((w[0] == "\0" for w in words), np.bool_, len(words))
-        flat = np.insert(flat, (np.cumsum(sizes) - sizes)[after], self.line)
-        sizes = sizes + after
-        self._add(words, flat, sizes)
+        return np.delete(flat, cut), np.diff(np.concatenate([[-1], cut, [len(flat)]])) - 1
+
+    def _learn(self) -> None:
+        """Ids of the new words, in their order. A full stop or comma that ends a word after a letter is a piece of its own."""
+        words, self.known.new = self.known.new, []
+        if not words:
+            return
+        tail = [w[-1] in ".," and len(w) > 1 and w[-2].isalpha() for w in words]
+        stems = [w[:-1] if t else w for w, t in zip(words, tail)]
+        have, old = self.known.get, len(self.sizes)
+        seen = np.array([n if t and (n := have(x, old)) < old else -1 for x, t in zip(stems, tail)], np.int64)
+        flat, sizes = self._lines([x for x, n in zip(stems, seen.tolist()) if n < 0])
+        # All stems' ids behind the old ones; then each word's, with line end and stop.
+        pool = np.concatenate([self.flat, flat, np.array([self.line, self.stops["."], self.stops[","]], np.uint32)])
+        start = np.cumsum(np.concatenate([self.sizes, sizes])) - np.concatenate([self.sizes, sizes])
+        at = seen.copy()
+        at[seen < 0] = old + np.arange(len(sizes))
+        n = np.concatenate([self.sizes, sizes])[at]
+        before = np.fromiter((w[0] == "\0" for w in words), np.bool_, len(words)) & (seen < 0)
+        stop = np.fromiter((0 if not t else 1 if w[-1] == "." else 2 for w, t in zip(words, tail)), np.int64, len(words))
+        total = n + before + (stop > 0)
+        upto = np.cumsum(total)
+        pick = np.repeat(start[at] - (upto - total) - before, total) + np.arange(upto[-1])
+        pick[(upto - total)[before]] = len(pool) - 3
+        pick[upto[stop > 0] - 1] = len(pool) - 3 + stop[stop > 0]
+        self.flat, self.sizes = np.concatenate([self.flat, pool[pick]]), np.concatenate([self.sizes, total])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text and the end id 0."""
         if len(self.known) > KNOWN_WORDS:
             self.forget()
-        end = np.zeros(1, np.uint32)
         out: list[np.ndarray | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        words, ends, docs = [], [], []
         for i, x in enumerate(texts):
             if not x:
-                out[i] = end
+                out[i] = np.zeros(1, np.uint32)
             elif not cuttable(x):
                 out[i] = np.array([*self._raw([x])[0], 0], np.uint32)
             else:
-                cut.append((i, ("\1" + x.replace("\n", " \0")).split(" ")))
-        new = {w for _, ws in cut for w in ws} - self.known.keys()
-        if new:
-            self.learn(list(new))
-        ends, met = np.cumsum(self.sizes), []
-        for i, ws in cut:
-            k = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
-            met.append(k)
+                words += ("\1" + x.replace("\n", " \0")).split(" ")
+                ends.append(len(words))
+                docs.append(i)
+        if docs:
+            k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            self._learn()
             n = self.sizes[k]
             upto = np.cumsum(n)
-            at = np.repeat(ends[k] - n - (upto - n), n) + np.arange(upto[-1])
-            out[i] = np.concatenate([self.flat[at], end])
-        if met:
-            self.hits += np.bincount(np.concatenate(met), minlength=len(self.hits))
+            at = np.repeat((np.cumsum(self.sizes) - self.sizes)[k] - (upto - n), n)
+            at += np.arange(upto[-1])
+            ids = self.flat[at]
+            self.hits += np.bincount(k, minlength=len(self.hits))
+            a = 0
+            for i, z in zip(docs, upto[np.array(ends) - 1].tolist()):
+                out[i] = np.append(ids[a:z], np.uint32(0))
+                a = z
         return out
 
 
@@ -240,7 +251,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 512) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 1000) -> DataFrame:
     """The written shards (bucket, seq, n_docs, n_ids, shard), keys ascending over (bucket, seq) and within each.
 
     Null keys come last and are in no index; null texts are only the end id; an empty table gives no shards.
