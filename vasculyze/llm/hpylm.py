@@ -22,14 +22,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, splitmix, tidy, together, written
+from .common import release, small_batches, splitmix, tidy, together, written
 
 BLOCK_CHARS, HUBS, TOP_OF_BLOCK = 6_000_000, 23, 256
 #: Sweeps: burn-in and averaged, of each round; customers of a dish seated one by one, beyond which they sit down in groups.
@@ -341,29 +340,35 @@ def _answers(tables, customers, types, n_ctx):
 def _score(hubs: list[bytes], n: int, v: int):
     """A block and its words' answers: a row per document."""
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         n_ctx = len(hubs) + 1
+        right = right.combine_chunks()
         idx = right["idx"].to_numpy()
-        ctx = np.frombuffer(b"".join(right["ctx"]), np.uint8).astype(np.int64)
-        cell = np.repeat(idx.astype(np.int64), right["ctx"].str.len().to_numpy(np.int64)) * n_ctx + ctx
-        p = np.frombuffer(b"".join(right["p"]), "<f4").astype(np.float64)
+        flat = [_flat(c, np.uint8) for c in right["ctx"].chunks]
+        k = np.concatenate([x[0] for x in flat]) if flat else np.zeros(0, np.int32)
+        ctx = np.concatenate([x[1] for x in flat]).astype(np.int64) if flat else np.zeros(0, np.int64)
+        p = np.concatenate([_flat(c, "<f4")[1] for c in right["p"].chunks]) if flat else np.zeros(0, np.float32)
+        cell = np.repeat(idx.astype(np.int64), k) * n_ctx + ctx
         order = np.argsort(cell)
-        cell, p = cell[order], p[order]
-        for _, row in left.iterrows():
+        cell, p = cell[order], p[order].astype(np.float64)
+        n_of = right["n"].to_numpy()
+        del right, flat, ctx, order
+        for row in left.to_pylist():
             words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
             count = np.zeros(len(words), np.int64)
-            count[idx] = right["n"].to_numpy()
+            count[idx] = n_of
             tokens, sizes = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["sizes"], np.int64)
             want = tokens * n_ctx + contexts(tokens, sizes, _hub_table(words, hubs))
             at = np.searchsorted(cell, want)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             base = np.log10((count + 1.0) / (n + 1 * (v + 1)))
             sums = lambda x: np.bincount(doc, x, len(sizes))  # noqa: B023, E731
-            key = pd.array(_unpack(row["keys"], np.int64), dtype="Int64")
-            key[_unpack(row["nulls"], np.bool_)] = pd.NA
-            out.append(pd.DataFrame({"key": key, "held_out": _unpack(row["held"], np.bool_), "n_tokens": sizes, "n_known": sums(count[tokens] > 0).astype(np.int64), "base_score": sums(base[tokens]), "score": sums(p[at])}))
-        return pd.concat(out)
+            keys = pa.array(_unpack(row["keys"], np.int64), mask=_unpack(row["nulls"], np.bool_))
+            cols = [keys, pa.array(_unpack(row["held"], np.bool_)), pa.array(sizes), pa.array(sums(count[tokens] > 0).astype(np.int64)), pa.array(sums(base[tokens])), pa.array(sums(p[at]))]
+            out.append(pa.Table.from_arrays(cols, names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        release()
+        return pa.concat_tables(out)
 
     return run
 
@@ -374,7 +379,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", mod: int = 7, held: int = 2,
     Learns from rows whose crc32 of the key's text, modulo `mod`, is not `held`. Null texts are empty: one end token. A
     null key hashes as empty text. Repeated rows each count and come back; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 4000)
     blocks = written(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(tidy(_blocks(mod, held)), _BLOCK), "lm-blocks")
     tops = blocks.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.top", "x.top_n").where(F.octet_length("top") > 0)
     hub = [bytes(r["top"]) for r in tops.groupBy("top").agg(F.sum("top_n").alias("n")).orderBy(F.desc("n"), "top").limit(hubs).collect()]
@@ -395,7 +400,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", mod: int = 7, held: int = 2,
             tables, customers = np.array(got[: n_ctx + 1], float), np.array(got[n_ctx + 1 :], float)
     answers = rows.mapInArrow(tidy(_answers(tables, customers, v, n_ctx)), "block bigint, idx int, n bigint, ctx binary, p binary")
     keep = blocks.select("block", "keys", "nulls", "sizes", "held", "tokens", "words")
-    out = keep.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score(hub, n, v), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = keep.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(hub, n, v), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
