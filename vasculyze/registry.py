@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from .operators import kernels, models
+from .operators import benchmark, embeddings, inference, kernels, models, outliers
+from .plans import extra
 from .plans.shared import SHARED
 from .sources import adapters
 
@@ -28,5 +29,5 @@ def _twin(text: str) -> str:
     return (f"WITH {head} " if head else "") + _NAME.sub(r"\1", text)
 
 
-QUERIES: dict = {name: _spark(text) for name, text in SHARED.items()} | kernels.QUERIES | models.QUERIES
-ORACLE_SQL: dict = {name: _twin(text) for name, text in SHARED.items()}
+QUERIES: dict = {name: _spark(text) for name, text in (SHARED | extra.SPARK).items()} | kernels.QUERIES | models.QUERIES | inference.QUERIES | outliers.QUERIES | embeddings.QUERIES | benchmark.QUERIES
+ORACLE_SQL: dict = {name: _twin(text) for name, text in (SHARED | extra.TWINS).items()} | extra.KERNEL_TWINS
