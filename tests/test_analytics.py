@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vasculyze.cli import main
 from vasculyze.functions.metadata import metadata_of
@@ -177,7 +178,7 @@ def test_vectors_crossings_and_metadata():
 
 def test_maps(spark):
     rng = np.random.default_rng(0)
-    y = E.tsne(np.concatenate([rng.normal(0, 0.1, (8, 3)), rng.normal(5, 0.1, (8, 3))]), rounds=300)
+    y = E.tsne(np.concatenate([rng.normal(0, 0.1, (8, 3)), rng.normal(5, 0.1, (8, 3))]))
     assert np.linalg.norm(y[:8].mean(0) - y[8:].mean(0)) > max(np.linalg.norm(y[:8] - y[:8].mean(0), axis=1).max(), np.linalg.norm(y[8:] - y[8:].mean(0), axis=1).max())
     df = spark.createDataFrame([(0.0, 0.0, "AD"), (0.2, 0.1, "AD"), (2.0, 2.0, "control"), (2.2, 2.1, "control")], "component_1 double, component_2 double, diagnosis string")
     (r,) = E.group_separation(df, n_permutations=50).collect()
@@ -188,3 +189,29 @@ def test_maps(spark):
         E.deep_comparators()
     with pytest.raises(NotImplementedError, match="deferred"):
         E.automated_avr()
+
+
+def test_validation(spark):
+    from vasculyze.operators import validation as V
+
+    schema = "subject_id string, image_id string, layer string, diagnosis string, label_source string, mask_path string, mask_height int, a double, b string"
+    rows = [("s1", "i1", "SVC", "AD", "manifest", "m", 8, 0.4, "1"), ("s2", "i2", "SVC", "control", "manifest", "m", 8, 0.2, "x")]
+    df = spark.createDataFrame(rows, schema)
+    assert V.validate(df) == ["a", "b"] and V.infer_features(df, include_qc=True) == ["mask_height", "a", "b"]
+    V.guard_label_source(df)
+    make = lambda *more: spark.createDataFrame([*rows, *more], schema)
+    for bad, text in (
+        (df.drop("mask_path"), "Missing required"),
+        (make(("s1", "i3", "DVC", "control", "manifest", "m", 8, 0.1, "2")), "conflicting diagnosis"),
+        (make(("s1", "i3", "SVC", "AD", "manifest", "m", 8, 0.1, "2")), "at most one row"),
+        (make(("s3", "i3", "SVP", "AD", "manifest", "m", 8, 0.1, "2")), "Unexpected layer"),
+        (make((None, "i3", "SVC", "AD", "manifest", "m", 8, 0.1, "2")), "null"),
+        (df.withColumn("c", F.lit(float("nan"))), "entirely NaN: c"),
+    ):
+        with pytest.raises(ValueError, match=text):
+            V.validate(bad)
+    with pytest.raises(ValueError, match="label_source"):
+        V.guard_label_source(make(("s3", "i3", "SVC", "AD", " ", "m", 8, 0.1, "2")))
+    V.guard_leakage(df.limit(1), df.where("subject_id = 's2'"))
+    with pytest.raises(ValueError, match="leakage"):
+        V.guard_leakage(df, df)
