@@ -12,7 +12,7 @@ _WEIGHT = "CASE " + " ".join(f"WHEN u < {c} THEN {w}" for w, c in enumerate(POIS
 
 def _bootstrap(draws: str, unit: str) -> str:
     """Brier score of Poisson resamples: a row's weight in a draw comes from its own hash, so a draw is a map and a partial sum."""
-    return f"""SELECT b, CAST(sum(w) AS BIGINT) AS rows_drawn, round(sum(w * loss) / 1E6 / sum(w), 9) AS brier FROM (
+    return f"""SELECT CAST(b AS BIGINT) AS b, CAST(sum(w) AS BIGINT) AS rows_drawn, round(sum(w * loss) / 1E6 / sum(w), 9) AS brier FROM (
         SELECT b, loss, {_WEIGHT} AS w FROM (SELECT b, CAST((k - 1000 * y) * (k - 1000 * y) AS BIGINT) AS loss, {unit} AS u FROM (SELECT l.doc_id AS id, l.quality AS y, d.n_chars % 1000 AS k FROM {{labels}} l JOIN {{documents}} d ON l.doc_id = d.doc_id) s CROSS JOIN {draws}) t) v GROUP BY b"""
 
 
