@@ -27,10 +27,15 @@ def _beside(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(named, on).drop(*[f"_k_{k}" for k in keys])
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """Computed once, as later steps read it twice each: checkpointed where the cluster names a folder, else cached with spill to disk."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def robust_z(df: DataFrame, features, by=("layer",)) -> DataFrame:
     """Adds z__<feature>: missing values count as the median; the scale is 1.4826 MAD, else the deviation, else 1. A feature without a value is null."""
     features, by = list(features), list(by)
-    v = df.withColumns({f"_v_{f}": finite(F.col(f).try_cast("double")) for f in features})
+    v = _once(df).withColumns({f"_v_{f}": finite(F.col(f).try_cast("double")) for f in features})
     v = _beside(v, v.groupBy(*by).agg(*[F.median(f"_v_{f}").alias(f"_m_{f}") for f in features]), by)
     v = v.withColumns({f"_v_{f}": F.coalesce(f"_v_{f}", f"_m_{f}") for f in features})
     v = _beside(v, v.groupBy(*by).agg(*[(F.median(F.abs(F.col(f"_v_{f}") - F.col(f"_m_{f}"))) * 1.4826).alias(f"_a_{f}") for f in features], *[F.stddev_samp(f"_v_{f}").alias(f"_s_{f}") for f in features]), by)
@@ -65,13 +70,14 @@ def outlier_scores(df: DataFrame, features, by=("layer",)) -> DataFrame:
     """Adds to each row z__<feature>, its largest and mean size, distance, leverage with its group's threshold, the five most
     extreme features as text, and is_feature_outlier. Groups under three rows have no leverage; under five none is flagged by it."""
     features, by = list(features), list(by)
-    z = robust_z(df, features, by)
+    z = _once(robust_z(df, features, by))
     z = _beside(z, _axes(z, features, by), by)
     p = len(features)
     filled = [F.coalesce(F.col(f"z__{f}"), F.lit(0.0)) for f in features]
     z = z.withColumns({f"_t{a}": sum((filled[i] * F.col("_axes")[a * p + i] for i in range(p)), F.lit(0.0)) for a in (0, 1)})
     z = _beside(z, z.groupBy(*by).agg(F.median("_t0").alias("_c0"), F.median("_t1").alias("_c1")), by)
     z = z.withColumn("pca_leverage_score", F.when(F.col("_n") >= 3, F.pow(F.col("_t0") - F.col("_c0"), 2) + F.pow(F.col("_t1") - F.col("_c1"), 2)).otherwise(0.0))
+    z = _once(z)
     z = _beside(z, z.groupBy(*by).agg(F.when(F.count(F.lit(1)) < 5, F.max("pca_leverage_score") + 1).otherwise(F.greatest(F.lit(3.0), F.percentile("pca_leverage_score", 0.95))).alias("pca_leverage_threshold")), by)
     size = F.array_compact(F.array(*[F.abs(f"z__{f}") for f in features]))
     total = lambda a, g: F.aggregate(a, F.lit(0.0), lambda s, x: s + g(x))
