@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vasculyze.llm import decontam, fingerprint, hpylm, jaccard, langid, mix, quality, tokenbin, toxicity, warc
+from vasculyze.llm import common, decontam, fingerprint, hpylm, jaccard, langid, mix, quality, tokenbin, toxicity, warc
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size int, block int"
 EN = "the quick brown fox jumps over the lazy dog and then it goes home to sleep for the night "
@@ -292,3 +292,24 @@ def test_pipeline(spark):
     for r in sorted(out, key=lambda r: r["start"]):
         assert r["start"] == at
         at += r["n_tokens"]
+
+
+def test_components_with_hubs(spark):
+    rng = np.random.default_rng(5)
+    star = [(900, int(x)) for x in range(1000, 1700)] + [(5000, int(x)) for x in range(2000, 2700)]
+    path = [(i, i + 1) for i in range(6000, 6040)]
+    loose = [(int(x), int(y)) for x, y in rng.integers(7000, 7600, (350, 2))]
+    links = star + path + loose + star[:20] + [(8000, 8000)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in {v for pair in links if pair[0] != pair[1] for v in pair}}
+    assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0

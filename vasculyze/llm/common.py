@@ -123,27 +123,39 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A node with more than one part in so many of a link table's rows is a hub; both directions of E links have fewer than 2 * HUBS of them.
+HUBS = 256
+
+
+def _with_least(rows: DataFrame, links: int) -> DataFrame:
+    """(u, v, m): m is the least v of u's rows. `rows` has at most 2 * links rows, so the hubs that are broadcast are fewer than
+    2 * HUBS; a hub's rows stay where they are, and the shuffled join keeps only nodes with few."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") * HUBS > links).select("u", "m"))
+    few = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") * HUBS <= links).select("u", "m"), "u")
+    return few.unionByName(rows.join(hubs, "u"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the links, component being the least node that links reach.
 
     Alternating large-star and small-star steps on a star-shaped link table: each keeps at most one row per link, all
-    grouping is a partial minimum, and hot hubs are narrow rows that adaptive joins can split. Each round is a written
-    table. Nothing but two numbers a round (count and sum of hashes) reaches the driver.
+    grouping is a partial minimum, and a hub's rows are joined without a shuffle. Each round is a written table. Nothing
+    but two numbers a round (count and sum of hashes) reaches the driver.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = written(e, "links")
-    last = None
+    last, links = None, e.count()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = _with_least(both, links).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        both_ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        small = _with_least(large, links).select(both_ends.alias("r")).select("r.*").where("u <> v").distinct()
         e = written(small, "links")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tuple(now) == last:
             break
-        last = tuple(now)
+        last, links = tuple(now), now[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
