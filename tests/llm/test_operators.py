@@ -117,6 +117,19 @@ def test_language(spark, docs, none):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit(none)).collect()} == {"und"}
 
 
+def test_language_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    speak = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    head = "12345 / 678 " * 40
+    many = [(i, head + speak("abcdefgh", 3000), "aa") for i in range(70)]
+    few = [(100 + i, head + speak("ghijklmn", 3000), "bb") for i in range(3)]
+    short = [(200 + i, speak("opqrstuv", 2), "cc") for i in range(3000)]
+    model = langid.fit(spark.createDataFrame(many + few + short, "doc_id bigint, text string, lang string"))
+    assert model.langs == ["aa", "bb", "cc"] and min(model.bits) > np.log2(0.98 * langid.SYMBOLS)
+    assert model.predict([speak("abcdefgh", 40), speak("ghijklmn", 40), speak("opqrstuv", 40)])[0] == ["aa", "bb", "cc"]
+    assert langid._shares([10, 100, 5], 60) == [11, 43, 6]
+
+
 def test_cross_parsing_counts_phrases():
     import random
 

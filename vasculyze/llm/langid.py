@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import crc32_of, small_batches, tidy
 
 UNKNOWN = "und"
-#: Symbols of a language's sample, labelled documents it comes from, letters with a symbol of their own, and the most languages.
-SYMBOLS, SAMPLE_DOCS, LETTERS, LANGUAGES = 16_000, 64, 46, 512
+#: Symbols of a language's sample, labelled documents it comes from at least (if there are), symbols of a span, letters with a symbol of their own.
+SYMBOLS, SAMPLE_DOCS, SPAN, LETTERS = 16_000, 64, 250, 46
 SEGMENT, CHUNK, MISS = 256, 1_000_000, 1 << 15
 
 
@@ -171,22 +171,48 @@ class Model:
         return [self.langs[k] if has else UNKNOWN for k, has in zip(best, letter)], np.clip(score, 0, 1)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id") -> Model:
-    """From (key, text, lang): per language at most SAMPLE_DOCS texts, those of least key hash, and SYMBOLS symbols of them.
+def _shares(sizes: list[int], budget: int) -> list[int]:
+    """The budget dealt to texts of so many symbols (each plus a gap): short texts whole, the long ones alike."""
+    out, left = [0] * len(sizes), budget
+    for done, i in enumerate(sorted(range(len(sizes)), key=sizes.__getitem__)):
+        out[i] = min(sizes[i] + 1, left // (len(sizes) - done))
+        left -= out[i]
+    return out
 
-    The ranking reads no text; what reaches the driver is bounded by these parameters and by LANGUAGES.
+
+def fit(labelled: DataFrame, key: str = "doc_id", symbols: int = SYMBOLS) -> Model:
+    """From (key, text, lang): per language `symbols` symbols of its distinct texts with a letter, in the order of their hash.
+
+    Texts are taken until there are SAMPLE_DOCS and they hold the symbols, so a language falls short only where all its
+    texts do. They share the symbols; a text longer than its share gives spans at hashed offsets, one from each of equally
+    long parts of the whole text. What reaches the driver is bounded by the symbols of each language.
     """
-    rows = labelled.where("lang is not null and text is not null").withColumn("h", F.xxhash64(F.lit("sample"), key))
-    w = Window.partitionBy("lang").orderBy("h", key)
-    few = rows.select(key, "lang", "h").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE_DOCS).select(F.col(key).alias("k"), F.col("lang").alias("l"), "h").limit(SAMPLE_DOCS * LANGUAGES).collect()
-    each = 4 * SYMBOLS // SAMPLE_DOCS
-    wanted = {r["k"] for r in few}
-    texts = labelled.where(F.col(key).isin(list(wanted))).select(key, "lang", F.substring("text", 1, each).alias("text")).where("lang is not null and text is not null").dropDuplicates([key, "lang"]).collect() if wanted else []
+    letters = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
+    rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64(F.lit("sample"), "text").alias("h"), "text")
+    known = rows.select("lang", "h", F.length(letters).alias("n")).where("n > 0").groupBy("lang", "h").agg(F.max("n").alias("n"))
+    w = Window.partitionBy("lang").orderBy("h")
+    few = known.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(SAMPLE_DOCS, symbols // 2))
+    few = few.withColumn("before", F.sum(F.col("n") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - 1)
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in few.where((F.col("rn") <= SAMPLE_DOCS) | (F.col("before") < symbols)).select("lang", "h", "n").collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["n"]))
+    wanted = [(lang, h, n, share) for lang, texts in found.items() for (h, n), share in zip(texts, _shares([n for _, n in texts], symbols)) if share > 1]
+    if not wanted:
+        return Model({})
+    at = labelled.sparkSession.createDataFrame(wanted, "lang string, h bigint, n bigint, share bigint")
+    spans = F.greatest(F.lit(1), F.floor(F.col("share") / SPAN)).cast("int")
+    width = F.floor(F.col("share") / spans) - 1
+
+    def span(i):
+        part, end = F.floor(i * F.col("n") / spans), F.floor((i + 1) * F.col("n") / spans)
+        return F.substring("t", (part + F.pmod(F.xxhash64("h", i), F.greatest(F.lit(1), end - part - width + 1)) + 1).cast("int"), width.cast("int"))
+
+    cut = F.when(F.col("n") < F.col("share"), F.array("t")).otherwise(F.transform(F.sequence(F.lit(0), spans - 1), span))
+    texts = rows.join(F.broadcast(at), ["lang", "h"]).withColumn("t", letters).select("lang", "h", cut.alias("spans")).dropDuplicates(["lang", "h"]).collect()
     samples: dict[str, list[str]] = {}
-    rank = {(r["k"], r["l"]): r["h"] for r in few}
-    for r in sorted(texts, key=lambda r: (r["lang"], rank.get((r[key], r["lang"]), 0), r[key])):
-        samples.setdefault(r["lang"], []).append(_fold(r["text"][: each // 4] + " "))
-    return Model({k: v for k, v in samples.items() if any(c.isalpha() for x in v for c in x)})
+    for r in sorted(texts, key=lambda r: (r["lang"], r["h"])):
+        samples.setdefault(r["lang"], []).extend(_fold(x) + " " for x in r["spans"])
+    return Model(samples, symbols)
 
 
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
