@@ -130,6 +130,23 @@ def test_language_learns_from_whole_texts(spark):
     assert langid._shares([10, 100, 5], 60) == [11, 43, 6]
 
 
+def test_language_tells_scripts_apart(spark):
+    rng = np.random.default_rng(4)
+    letters = {"la": range(97, 123), "el": range(0x3B1, 0x3C1), "ru": range(0x430, 0x450), "zh": range(0x4E00, 0x4F00), "ja": [*range(0x3042, 0x3090), *range(0x4E00, 0x4E20)], "ko": range(0xAC00, 0xAD00), "yi": range(0x20000, 0x20080)}
+    speak = lambda lang, n: " ".join("".join(map(chr, rng.choice(list(letters[lang]), 5))) for _ in range(n))
+    model = langid.fit(spark.createDataFrame([(i, speak(lang, 400), lang) for lang in letters for i in range(8)], "doc_id bigint, text string, lang string"))
+    assert model.predict([speak(lang, 30) for lang in letters for _ in range(5)])[0] == [lang for lang in letters for _ in range(5)]
+    text = "aé中\U00020000 1.2 ж"
+    seq, sizes, has = model.symbols([text, "", "..", "é"])
+    assert bytes(seq) == "aé中\U00020000".encode() + b"\0" + "ж".encode() + b"\0" + "é".encode()
+    assert sizes.tolist() == [13, 0, 1, 2] and has.tolist() == [True, False, False, True]
+
+
+def test_language_takes_any_number_of_languages(spark):
+    got = langid.fit(spark.createDataFrame([(i, chr(0x4E00 + i) * 3, f"l{i:03}") for i in range(600)], "doc_id bigint, text string, lang string"))
+    assert len(got.langs) == 600
+
+
 def test_cross_parsing_counts_phrases():
     import random
 

@@ -4,7 +4,8 @@ Per language, a suffix automaton of a bounded sample of labelled text. A text is
 that occur in a language's sample; phrases times log2 of the sample's length, over the text's symbols, estimate the cross
 entropy. The language that needs least wins.
 
-The automata become flat transition tables, and all segments of many texts walk through them in step, so the work per
+Symbols are the bytes of UTF-8, so that every letter of every script is told apart, and a table has a column for each of the
+at most 256 bytes that its language's sample has. The automata become flat transition tables, and all segments of many texts walk through them in step, so the work per
 symbol is a few array operations. A transition that a state lacks starts the next phrase from the root and is marked.
 """
 
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import crc32_of, small_batches, tidy
 
 UNKNOWN = "und"
-#: Symbols of a language's sample, labelled documents it comes from at least (if there are), symbols of a span, letters with a symbol of their own.
-SYMBOLS, SAMPLE_DOCS, SPAN, LETTERS = 16_000, 64, 250, 46
+#: Symbols of a language's sample, labelled documents it comes from at least (if there are), symbols of a span.
+SYMBOLS, SAMPLE_DOCS, SPAN = 16_000, 64, 250
 SEGMENT, CHUNK, MISS = 256, 1_000_000, 1 << 15
 
 
@@ -79,39 +80,50 @@ def table(symbols: list[int], width: int) -> np.ndarray:
 
 
 class Model:
-    """Languages in code point order with their tables; symbol 0 is any run of non-letters, 1 a letter outside the alphabet."""
+    """Languages in code point order with their tables; symbol 0 is any run of non-letters, the others are bytes of letters in UTF-8."""
 
     def __init__(self, samples: dict[str, list[str]], symbols: int = SYMBOLS):
         self.langs = sorted(samples)
-        self.codes = np.zeros(0x110000, np.uint8)
-        self.codes[_letters()] = 1
-        count: dict[str, int] = {}
-        for texts in samples.values():
-            for c in "".join(texts):
-                if c.isalpha():
-                    count[c] = count.get(c, 0) + 1
-        self.width = 2 + LETTERS
-        for i, c in enumerate(sorted(count, key=lambda c: (-count[c], c))[:LETTERS]):
-            self.codes[ord(c)] = 2 + i
-        self.tables, self.bits = [], []
+        self.columns, self.widths, self.tables, self.bits = [], [], [], []
         for lang in self.langs:
             seq = self.symbols([_fold(x) for x in samples[lang]])[0][:symbols]
-            self.tables.append(table(seq.tolist(), self.width))
+            has = np.unique(seq)
+            # Column 0 stands for the bytes that the sample lacks.
+            column = np.zeros(256, np.uint8)
+            column[has] = np.arange(1, len(has) + 1)
+            self.columns.append(column)
+            self.widths.append(len(has) + 1)
+            self.tables.append(table(column[seq].tolist(), len(has) + 1))
             self.bits.append(float(np.log2(max(2, len(seq)))))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All texts' symbols after each other, each text's number of symbols, and whether it has a letter."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        code = self.codes[points]
+        letter = _letters()[points]
         at = np.concatenate([[0], np.cumsum(sizes)])
-        keep = np.ones(len(code), np.bool_)
-        keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
+        keep = np.ones(len(points), np.bool_)
+        keep[1:] = letter[1:] | letter[:-1]
         begins = at[:-1][sizes > 0]
         keep[begins] = True
-        total = np.concatenate([[0], np.cumsum(keep)])
-        letters = np.concatenate([[0], np.cumsum(code != 0)])
-        return code[keep], total[at[1:]] - total[at[:-1]], (letters[at[1:]] - letters[at[:-1]]) > 0
+        letters = np.concatenate([[0], np.cumsum(letter)])
+        code = np.where(letter, points, 0)[keep]
+        high = np.flatnonzero(code >= 0x80)
+        big = code[high]
+        more = np.zeros(len(code), np.int64)
+        more[high] = 1 + (big >= 0x800) + (big >= 0x10000)
+        last = np.arange(len(code)) + np.cumsum(more)
+        out = np.empty(len(code) + more.sum(), np.uint8)
+        out[last] = np.where(code < 0x80, code, 0x80 | (code & 0x3F))
+        at_high, more_high = last[high], more[high]
+        for n in (1, 2, 3):
+            lead = more_high == n
+            out[at_high[lead] - n] = (0, 0xC0, 0xE0, 0xF0)[n] | (big[lead] >> (6 * n))
+            inner = more_high > n
+            out[at_high[inner] - n] = 0x80 | (big[inner] >> (6 * n) & 0x3F)
+        kept = np.concatenate([[0], np.cumsum(keep)])[at]
+        total = np.concatenate([[0], last + 1])[kept]
+        return out, np.diff(total), (letters[at[1:]] - letters[at[:-1]]) > 0
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits that each language needs for each text (texts by languages), symbols, and whether there is a letter."""
@@ -127,14 +139,15 @@ class Model:
         active = np.searchsorted(-size, -np.arange(SEGMENT), side="left") if len(size) else np.zeros(SEGMENT, int)
         grid = seq[np.minimum(start[None, :] + np.arange(SEGMENT)[:, None], len(seq) - 1)] if len(size) else None
         out = np.zeros((len(texts), len(self.langs)))
-        for k, t in enumerate(self.tables):
+        for k, (t, width) in enumerate(zip(self.tables, self.widths)):
+            own = self.columns[k][grid] if len(size) else None
             state = np.zeros(len(doc), np.int32)
             phrases = np.zeros(len(doc), np.int32)
             for j in range(SEGMENT):
                 n = active[j]
                 if not n:
                     break
-                x = t[state[:n] * self.width + grid[j, :n]]
+                x = t[state[:n] * width + own[j, :n]]
                 phrases[:n] += x >> 15
                 state[:n] = x & (MISS - 1)
             out[:, k] = np.bincount(doc, phrases, len(texts)) * self.bits[k]
@@ -189,22 +202,22 @@ def fit(labelled: DataFrame, key: str = "doc_id", symbols: int = SYMBOLS) -> Mod
     """
     letters = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
     rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64(F.lit("sample"), "text").alias("h"), "text")
-    known = rows.select("lang", "h", F.length(letters).alias("n")).where("n > 0").groupBy("lang", "h").agg(F.max("n").alias("n"))
+    known = rows.select("lang", "h", letters.alias("t")).select("lang", "h", F.octet_length("t").alias("n"), F.length("t").alias("c")).where("n > 0").groupBy("lang", "h").agg(F.max("n").alias("n"), F.max("c").alias("c"))
     w = Window.partitionBy("lang").orderBy("h")
     few = known.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(SAMPLE_DOCS, symbols // 2))
     few = few.withColumn("before", F.sum(F.col("n") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - 1)
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in few.where((F.col("rn") <= SAMPLE_DOCS) | (F.col("before") < symbols)).select("lang", "h", "n").collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["n"]))
-    wanted = [(lang, h, n, share) for lang, texts in found.items() for (h, n), share in zip(texts, _shares([n for _, n in texts], symbols)) if share > 1]
+    found: dict[str, list[tuple[int, int, int]]] = {}
+    for r in few.where((F.col("rn") <= SAMPLE_DOCS) | (F.col("before") < symbols)).select("lang", "h", "n", "c").collect():
+        found.setdefault(r["lang"], []).append((r["h"], r["n"], r["c"]))
+    wanted = [(lang, h, n, c, share) for lang, texts in found.items() for (h, n, c), share in zip(texts, _shares([n for _, n, _ in texts], symbols)) if share > 1]
     if not wanted:
         return Model({})
-    at = labelled.sparkSession.createDataFrame(wanted, "lang string, h bigint, n bigint, share bigint")
+    at = labelled.sparkSession.createDataFrame(wanted, "lang string, h bigint, n bigint, c bigint, share bigint")
     spans = F.greatest(F.lit(1), F.floor(F.col("share") / SPAN)).cast("int")
-    width = F.floor(F.col("share") / spans) - 1
+    width = F.greatest(F.lit(1), F.floor((F.floor(F.col("share") / spans) - 1) * F.col("c") / F.col("n")))
 
     def span(i):
-        part, end = F.floor(i * F.col("n") / spans), F.floor((i + 1) * F.col("n") / spans)
+        part, end = F.floor(i * F.col("c") / spans), F.floor((i + 1) * F.col("c") / spans)
         return F.substring("t", (part + F.pmod(F.xxhash64("h", i), F.greatest(F.lit(1), end - part - width + 1)) + 1).cast("int"), width.cast("int"))
 
     cut = F.when(F.col("n") < F.col("share"), F.array("t")).otherwise(F.transform(F.sequence(F.lit(0), spans - 1), span))
