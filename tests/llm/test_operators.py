@@ -50,6 +50,22 @@ def test_mix(spark, docs, none):
     assert mix.plan(none).count() == 0
 
 
+def test_mix_takes_what_the_plan_does(spark, none):
+    copies = [(7, "two words", "x", str(i % 5)) for i in range(150)] + [(None, "a null key", None, "n")] * 60
+    some = spark.createDataFrame(copies + [(100 + i, "a b c " * (1 + i % 3), ("x", "y", None)[i % 3], "r") for i in range(300)], "doc_id bigint, text string, source string, note string")
+    part = {"share": 0.3, "weights": (1.0, 1.0, 1.0), "blocks": 1}
+    plan, mixed = mix.plan(some, **part).collect(), mix.mix(some, **part).collect()
+    want, got = Counter(), Counter((r["doc_id"], r["source"], size(r["text"]), r["mix_shard"]) for r in mixed)
+    for r in plan:
+        want.update((r["doc_id"], r["source"], r["size"], s) for s in r["shards"])
+    assert got == want
+    assert len({r["copies"] for r in plan if r["doc_id"] == 7}) == 2
+    assert sorted(map(str, mixed)) == sorted(map(str, mix.mix(some.repartition(5), **part).collect()))
+    told = mix.report(some, **part).collect()
+    assert len(told) == len(plan) and all(r["taken"] == r["size"] * r["copies"] for r in told)
+    assert mix.report(none).count() == 0
+
+
 def test_quotas_add_up(spark):
     q = spark.createDataFrame([("a", 1000), ("b", 10), (None, 333)], "source string, quota bigint")
     got = mix.split_quotas(q, 8, 1).collect()

@@ -103,15 +103,28 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return q.select("source", F.col("lo").alias("shard"), "quota")
 
 
-def plan(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, blocks: int = 1024, seed: int = 7, key: str = "doc_id") -> DataFrame:
+def _words() -> F.Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def plan(docs: DataFrame, **options) -> DataFrame:
     """One row per row of docs: key, source, size, source_size, target, copies and the shard of each copy.
 
     Size counts the words of text (null: 0). Null is a source like others, the last. Rows that are alike in key,
     source and size share their block and are drawn by the same order; an empty table gives an empty plan; texts of
     no words are never drawn. Extra columns of docs are neither read nor returned.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "key", "size")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    return _plan(docs, **options)[0].drop("edge")
+
+
+def _hash(seed: int, key) -> F.Column:
+    return F.xxhash64(F.lit(seed), key, "size")
+
+
+def _plan(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, shards: int = 16, blocks: int = 1024, seed: int = 7, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The plan, with edge where a row's copies are its own and not its block's, and the draws of each block: source, block, room, full, last."""
+    rows = docs.select(F.col(key).alias("key"), F.col("source"), _words().alias("size"))
+    rows = rows.withColumn("h", _hash(seed, "key")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     rows = written(rows, "sizes")
     cells = written(rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count_if(F.col("size") > 0).alias("n")), "blocks")
     goals = written(targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), share, most, weights), "targets")
@@ -142,13 +155,13 @@ def plan(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, weights: tup
 
     full = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(0), F.col("passes") - 1)).otherwise(F.array().cast("array<int>")), shard_of)
     last = F.when(F.col("whole") | (F.col("room") > 0), F.array(shard_of(F.col("passes")))).otherwise(F.array().cast("array<int>"))
-    draws = draws.select("source", "block", "rank", "room", full.alias("full"), last.alias("last"))
+    draws = written(draws.select("source", "block", "rank", "room", full.alias("full"), last.alias("last")), "block-draws")
 
     r, k = rows.alias("r"), draws.alias("k")
     joined = r.join(k, (F.col("r.block") == F.col("k.block")) & same({"source": F.col("r.source")}, {"source": F.col("k.source")}), "left")
     joined = joined.select("r.key", "r.source", "r.size", "r.h", "k.rank", "k.room", "k.full", "k.last")
     none = F.array().cast("array<int>")
-    easy = joined.where("room is null or room <= 0").select("key", "source", "size", F.when(F.col("size") > 0, F.concat("full", "last")).otherwise(none).alias("shards"))
+    easy = joined.where("room is null or room <= 0").select("key", "source", "size", F.when(F.col("size") > 0, F.concat("full", "last")).otherwise(none).alias("shards"), F.lit(False).alias("edge"))
 
     # The short run of blocks where a source's last pass ends: rows that fit in the hashed order, then the largest that still fit.
     cell = Window.partitionBy("source")
@@ -164,26 +177,69 @@ def plan(docs: DataFrame, *, share: float = 1.5, most: float = 2.0, weights: tup
 
     edge = edge.withColumn("more", F.aggregate(near, F.struct(F.col("left"), F.array().cast("array<int>").alias("rns")), fill)["rns"])
     taken = (F.col("rn") <= F.col("rn0")) | F.array_contains("more", F.col("rn"))
-    edge = edge.select("key", "source", "size", F.when(taken, F.concat("full", "last")).otherwise(F.col("full")).alias("shards"))
-    zero = joined.where("room > 0 and size <= 0").select("key", "source", "size", none.alias("shards"))
+    edge = edge.select("key", "source", "size", F.when(taken, F.concat("full", "last")).otherwise(F.col("full")).alias("shards"), F.lit(True).alias("edge"))
+    zero = joined.where("room > 0 and size <= 0").select("key", "source", "size", none.alias("shards"), F.lit(False).alias("edge"))
 
     out = easy.unionByName(edge).unionByName(zero).withColumn("shards", F.coalesce("shards", none)).alias("o").join(g, F.expr("o.source <=> g.source"), "left")
-    return out.select(F.col("o.key").alias(key), "o.source", "o.size", "g.source_size", "g.target", F.size("o.shards").alias("copies"), F.col("o.shards").alias("shards"))
+    out = out.select(F.col("o.key").alias(key), "o.source", "o.size", "g.source_size", "g.target", F.size("o.shards").alias("copies"), F.col("o.shards").alias("shards"), "o.edge")
+    return out, draws
+
+
+def _mixed(docs: DataFrame, p: DataFrame, draws: DataFrame, *, key: str, seed: int, blocks: int = 1024, **_) -> DataFrame:
+    """docs' columns, _shards (the row's copies), mix_shard and mix_order: a row for each copy that the plan p has.
+
+    A row finds its block's draws by its hash, so texts are not shuffled. Only the rows of edge blocks look for their own
+    copies; where rows alike in key, source and size differ there, they are numbered in the order of their columns' hash,
+    and the numbers go to the plan's kinds of copies in turn.
+    """
+    alike = [F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n")]
+    kinds = p.where("edge").groupBy(*alike, "shards").agg(F.count(F.lit(1)).alias("rows")).groupBy("_k", "_s", "_n").agg(F.array_sort(F.collect_list(F.struct("shards", "rows"))).alias("kinds"))
+    kinds = written(kinds, "kinds")
+    more = kinds.where(F.size("kinds") > 1)
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.col("source").alias("s"), _words().alias("size"))
+    d = d.where("size > 0").withColumn("b", F.pmod(_hash(seed, "k"), F.lit(blocks)).cast("int"))
+    d = d.join(draws.select(F.col("source").alias("_source"), "block", "room", "full", "last"), F.col("s").eqNullSafe(F.col("_source")) & (F.col("b") == F.col("block")))
+    on = F.col("k").eqNullSafe(F.col("_k")) & F.col("s").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_n"))
+    whole = d.join(kinds, on, "left").where("kinds is null or size(kinds) = 1").select("row.*", F.when(F.col("kinds").isNull(), F.concat("full", "last")).otherwise(F.col("kinds")[0]["shards"]).alias("_shards"))
+
+    near = docs.join(more.select("_k").distinct(), F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+    near = near.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"), F.col("source").alias("s"), _words().alias("size")).join(more, on)
+    hashed = F.xxhash64(*[F.col("row")[c.name] for c in docs.schema.fields if "map<" not in c.dataType.simpleString()])
+    no = F.row_number().over(Window.partitionBy("_k", "_s", "_n").orderBy(hashed))
+    pick = F.aggregate("kinds", F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<int>").alias("got")), lambda a, x: F.struct((a["n"] + x["rows"]).alias("n"), F.when((F.col("_no") > a["n"]) & (F.col("_no") <= a["n"] + x["rows"]), x["shards"]).otherwise(a["got"]).alias("got")))["got"]
+    split = near.withColumn("_no", no).select("row.*", pick.alias("_shards"))
+
+    out = whole.unionByName(split).select(*docs.columns, "_shards", F.posexplode("_shards").alias("_copy", "mix_shard"))
+    return out.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", key, "_copy")).drop("_copy")
 
 
 def mix(docs: DataFrame, *, key: str = "doc_id", seed: int = 7, **options) -> DataFrame:
     """The mixed corpus: docs' columns plus mix_shard and mix_order, a row for each copy, hashed order within each shard.
 
-    Documents that no draw takes are absent. Rows of one key must be alike in source and text to be planned together;
-    else each row gets the copies of every plan row of its key, source and size.
+    Documents that no draw takes are absent. Rows alike in key, source and size get the copies of as many plan rows, one
+    each; which row gets which is told by the hash of its columns.
     """
-    p = plan(docs, key=key, seed=seed, **options).where("copies > 0").select(F.col(key).alias("_k"), F.col("source").alias("_s"), F.col("size").alias("_n"), "shards").dropDuplicates(["_k", "_s", "_n"])
-    d = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    out = d.join(p, F.col(key).eqNullSafe(F.col("_k")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_n")))
-    out = out.select(*[d[c] for c in docs.columns], F.posexplode("shards").alias("_copy", "mix_shard"))
-    return out.withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", key, "_copy")).drop("_copy")
+    return _mixed(docs, *_plan(docs, key=key, seed=seed, **options), key=key, seed=seed, **options).drop("_shards")
+
+
+def report(docs: DataFrame, *, key: str = "doc_id", seed: int = 7, **options) -> DataFrame:
+    """One row per row of docs, as the plan has it, plus taken: the words that the written mixed corpus has of the row.
+
+    The corpus is drawn, copied, and written in slices of its shards, sorted by mix_order within each.
+    """
+    p, draws = _plan(docs, key=key, seed=seed, **options)
+    p = written(p, "mix-plan")
+    mixed = _mixed(docs.select(key, "source", "text"), p, draws, key=key, seed=seed, **options)
+    mixed = written(mixed.repartition("mix_shard", F.shiftright("mix_order", 60)).sortWithinPartitions("mix_shard", "mix_order"), "mixed")
+    alike = [F.col(key).alias("_k"), F.col("source").alias("_s")]
+    words = mixed.select(*alike, F.regexp_count("text", F.lit(WORD)).cast("long").alias("_n"), "_shards").groupBy("_k", "_s", "_n", "_shards").agg(F.sum("_n").alias("words"))
+    rows = p.groupBy(*alike, F.col("size").alias("_n"), F.col("shards").alias("_shards")).agg(F.count(F.lit(1)).alias("rows"))
+    same = lambda a, b: F.expr(" and ".join(f"{a}.{c} <=> {b}.{c}" for c in ("_k", "_s", "_n", "_shards")))
+    # Alike rows with the same copies have the same share of the corpus.
+    each = rows.alias("r").join(words.alias("w"), same("r", "w")).select("r._k", "r._s", "r._n", "r._shards", F.expr("w.words div r.rows").alias("taken"))
+    p = p.select("*", *alike, F.col("size").alias("_n"), F.col("shards").alias("_shards"))
+    return p.alias("p").join(each.alias("e"), same("p", "e"), "left").select(key, "source", "size", "source_size", "target", F.coalesce("e.taken", F.lit(0).cast("long")).alias("taken"), "copies", "shards")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    p = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return p.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "shards")
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
