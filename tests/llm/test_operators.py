@@ -284,6 +284,14 @@ def test_keep_one(spark, docs):
     assert 0 in ids and 1 not in ids and 2 not in ids and {4, 5} <= set(ids)
 
 
+def test_keep_one_row_of_each_class(spark):
+    other = "completely different words stand in this sentence and nothing else is here "
+    third = "yet another passage whose words nobody has written down before this very day "
+    some = [(3, EN, "x"), (3, EN, "x"), (3, EN, "y"), (4, EN, "x"), (4, other, "x"), (None, other, "x"), (None, third, "x"), (None, third, "x"), (7, "", "x"), (7, "", "x")]
+    got = jaccard.keep_one(spark.createDataFrame(some, "doc_id bigint, text string, note string").repartition(3), n=5, percent=80).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("3", EN), ("4", other), ("None", third), ("7", ""), ("7", "")])
+
+
 def edit(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -313,6 +313,11 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90, key: str = "doc_i
     repeated rows each come back. A null key is never a component's least unless all of its keys are null. Sets stand by
     64-bit hashes: two different sets are taken for one with a chance of 2^-64 a pair.
     """
+    return _classes(docs, n=n, percent=percent, key=key).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def _classes(docs: DataFrame, *, n: int, percent: int, key: str) -> DataFrame:
+    """Per row of docs: key, at (the hash of key and text), n, component (null where the text has no shingle), component_id, n_links."""
     small_batches(docs.sparkSession)
     at = F.xxhash64(key, "text")
     rows = written(docs.select(F.col(key).cast("long").alias("key"), at.alias("at"), "text").mapInArrow(_documents(n, percent), "key bigint, at bigint, node bigint, n bigint, bits binary"), "sets")
@@ -349,18 +354,26 @@ def classes(docs: DataFrame, *, n: int = 3, percent: int = 90, key: str = "doc_i
     whole = components(found)
     named = nodes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").join(degree.withColumnRenamed("a", "node"), "node", "left").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = rows.where("n > 0").join(named, "node").select("key", "n", "component_id", "n_links")
-    none = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    out = full.unionByName(none)
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "n_links")
-
-
-def keep_one(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each class: that of the least key. Rows of no shingle stay."""
-    gone = classes(docs, key=key, **options).where(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    return left
+    named = named.join(least, "component").join(degree.withColumnRenamed("a", "node"), "node", "left").select("node", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    full = rows.where("n > 0").join(named, "node").select("key", "at", "n", "component", "component_id", "n_links")
+    none = rows.where("n = 0").select("key", "at", "n", F.lit(None).cast("long").alias("component"), F.col("key").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.unionByName(none)
+
+
+def keep_one(docs: DataFrame, *, n: int = 3, percent: int = 90, key: str = "doc_id") -> DataFrame:
+    """docs with one row of each class: that of the least key (nulls last), then of the least hash of key and text, then of
+    all columns. Rows of no shingle stay."""
+    rows = _classes(docs, n=n, percent=percent, key=key).where("n > 0").groupBy("component", "at").agg(F.min(F.struct(F.col("key").isNull().alias("null"), "key", "at")).alias("row"), F.count(F.lit(1)).alias("rows"))
+    rows = written(rows, "class-rows")
+    least = rows.groupBy("component").agg(F.min("row").alias("least"))
+    kept = rows.join(least, "component").select(F.col("at").alias("_gone"), "rows", (F.col("row") == F.col("least")).alias("first"))
+    kept = written(kept.where("not first or rows > 1"), "class-repeats")
+    at = F.xxhash64(key, "text")
+    left = docs.join(kept.select("_gone"), at == F.col("_gone"), "left_anti")
+    hashed = F.xxhash64(*[c.name for c in docs.schema.fields if "map<" not in c.dataType.simpleString()])
+    again = docs.join(kept.where("first").select("_gone"), at == F.col("_gone"))
+    again = again.groupBy("_gone").agg(F.min_by(F.struct(*docs.columns), hashed).alias("_row")).select("_row.*")
+    return left.unionByName(again)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
