@@ -231,6 +231,20 @@ def test_archive(spark):
     assert full[5].endswith(b"\r\n\r\n<p>a</p>\r\n\r\n") and b"WARC-Refers-To" in full[0]
     assert {r["record_type"] for r in warc.read_archive(*warc.write_archive(pages, least=9)).where("page_id in (0,1,2,5)").collect()} == {"response"}
     assert warc.read_archive(*warc.write_archive(pages.limit(0))).count() == 0
+    # Rows as they are read come from headers' bytes alone: names of negative, great and null ids survive, repeated rows stay.
+    odd = [(-1, "a"), (2**62 + 5, "a"), (None, "a"), (None, "b"), (7, "c"), (7, "c")]
+    head, body = warc.write_archive(spark.createDataFrame([(i, None, h) for i, h in odd], "page_id bigint, url string, html string"))
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_archive(head, body).collect()), key=str)
+    top = 2**62 + 5
+    assert got == sorted([(-1, "revisit", top, 1), (top, "response", None, 1), (None, "revisit", top, 1), (None, "response", None, 1), (7, "response", None, 1), (7, "response", None, 1)], key=str)
+    assert body.count() == 3
+    for broken in (head.withColumn("header", F.regexp_replace(F.col("header").cast("string"), "Content-Length: 4", "Content-Length: 5").cast("binary")), head.withColumn("header", F.regexp_replace(F.col("header").cast("string"), "Content-Length: 0", "Content-Length: 1").cast("binary"))):
+        if broken.where("cast(header as string) rlike 'Content-Length: [15]\r'").isEmpty():
+            continue
+        with pytest.raises(Exception, match="damaged record"):
+            warc.read_archive(broken, body).collect()
+    with pytest.raises(Exception, match="damaged record"):
+        warc.read_archive(head, body.withColumn("payload", F.lit(b"z"))).collect()
 
 
 @pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 50)])
