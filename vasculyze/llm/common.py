@@ -36,6 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark forget the shuffles and broadcasts of finished steps,
+    which it keeps until the driver happens to collect its garbage."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
 def crc32_of(col) -> F.Column:
     """crc32 of a number's decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
@@ -123,39 +135,74 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Links that a task joins up at once.
+HELD_LINKS = 1_500_000
 #: A node with more than one part in so many of a link table's rows is a hub; both directions of E links have fewer than 2 * HUBS of them.
 HUBS = 256
 
 
-def _with_least(rows: DataFrame, links: int) -> DataFrame:
-    """(u, v, m): m is the least v of u's rows. `rows` has at most 2 * links rows, so the hubs that are broadcast are fewer than
-    2 * HUBS; a hub's rows stay where they are, and the shuffled join keeps only nodes with few."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") * HUBS > links).select("u", "m"))
-    few = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") * HUBS <= links).select("u", "m"), "u")
-    return few.unionByName(rows.join(hubs, "u"))
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node that these links reach) for every node but the least ones themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    least = np.arange(len(nodes))
+    while len(i):
+        # Labels are roots here: the larger root of a link points to the least that any of its links offers.
+        m = np.minimum(least[i], least[j])
+        np.minimum.at(least, np.maximum(least[i], least[j]), m)
+        while not np.array_equal(jumped := least[least], least):
+            least = jumped
+        apart = least[i] != least[j]
+        i, j = i[apart], j[apart]
+    child = np.flatnonzero(least != np.arange(len(nodes)))
+    return nodes[child], nodes[least[child]]
+
+
+def _joined_up(batches):
+    """Links (u, v) -> (u, v), v the least node that the task's links reach from u: at most one row a node and HELD_LINKS links."""
+    held, n = [], 0
+
+    def rows():
+        u, v = forest(*(np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1)))
+        for x in range(0, len(u), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(u[x : x + 200_000]), pa.array(v[x : x + 200_000])], names=["u", "v"])
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= HELD_LINKS:
+            yield from rows()
+            held, n = [], 0
+    if held:
+        yield from rows()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the links, component being the least node that links reach.
 
-    Alternating large-star and small-star steps on a star-shaped link table: each keeps at most one row per link, all
-    grouping is a partial minimum, and a hub's rows are joined without a shuffle. Each round is a written table. Nothing
-    but two numbers a round (count and sum of hashes) reaches the driver.
+    Tasks join up the links that they hold, so a node comes out of each with one row at most; then links meet by their larger
+    node and are joined up again, until the table is a forest of stars. Between two such steps the large-star rule links every
+    node's larger neighbours to its least one, with hubs' rows joined by a bounded broadcast instead of a shuffle. Each round is
+    a written table, and the one before is deleted. Nothing but a flag a round reaches the driver.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e = written(e, "links")
-    last, links = None, e.count()
+    schema = "u bigint, v bigint"
+    links = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v").mapInArrow(tidy(_joined_up), schema)
+    e = written(links.repartition("u").mapInArrow(tidy(_joined_up), schema), "links")
     for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, links).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
-        both_ends = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
-        small = _with_least(large, links).select(both_ends.alias("r")).select("r.*").where("u <> v").distinct()
-        e = written(small, "links")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
-        if tuple(now) == last:
+        # A forest of stars: no node has two rows, and none that others point to points on.
+        ends = e.select("u", F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("u"), F.lit(0).alias("n")))
+        ends = ends.groupBy("u").agg(F.sum("n").alias("n"), F.min("n").alias("pointed"))
+        if ends.where("n > 1 or (n = 1 and pointed = 0)").isEmpty():
             break
-        last, links = tuple(now), now[0]
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        n = e.count()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        hubs = F.broadcast(least.where(F.col("n") * HUBS > n).select("u", "m"))
+        few = both.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") * HUBS <= n).select("u", "m"), "u")
+        large = few.unionByName(both.join(hubs, "u")).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v")
+        last, e = e, written(large.repartition("u").mapInArrow(tidy(_joined_up), schema), "links")
+        drop(last)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
