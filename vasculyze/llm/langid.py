@@ -5,8 +5,12 @@ that occur in a language's sample; phrases times log2 of the sample's length, ov
 entropy. The language that needs least wins.
 
 Symbols are the bytes of UTF-8, so that every letter of every script is told apart, and a table has a column for each of the
-at most 256 bytes that its language's sample has. The automata become flat transition tables, and all segments of many texts walk through them in step, so the work per
-symbol is a few array operations. A transition that a state lacks starts the next phrase from the root and is marked.
+at most 256 bytes that its language's sample has. The automata become flat transition tables. A transition that a state
+lacks starts the next phrase from the root and is marked.
+
+A text is parsed whole. So that the work per symbol is a few array operations, its segments are first parsed side by side,
+each as if a phrase began with it; then each is parsed again from the state that the one before really leaves, until a
+phrase begins where one did the first time, from which on both parses are the same.
 """
 
 from __future__ import annotations
@@ -18,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_of, small_batches, tidy
+from .common import crc32_of, small_batches, tidy, written
 
 UNKNOWN = "und"
 #: Symbols of a language's sample, labelled documents it comes from at least (if there are), symbols of a span.
 SYMBOLS, SAMPLE_DOCS, SPAN = 16_000, 64, 250
 SEGMENT, CHUNK, MISS = 256, 1_000_000, 1 << 15
+#: Parts of the hash range by which a language's texts are counted before any are ordered.
+HASH_PARTS = 4096
 
 
 @functools.cache
@@ -130,47 +136,82 @@ class Model:
         seq, sizes, letter = self.symbols(texts)
         pieces = -(-sizes // SEGMENT)
         doc = np.repeat(np.arange(len(texts)), pieces)
-        first = np.cumsum(pieces) - pieces
-        part = np.arange(len(doc)) - first[doc]
+        part = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]
         start = (np.cumsum(sizes) - sizes)[doc] + part * SEGMENT
         size = np.minimum(SEGMENT, sizes[doc] - part * SEGMENT)
-        order = np.argsort(-size, kind="stable")
-        doc, start, size = doc[order], start[order], size[order]
-        active = np.searchsorted(-size, -np.arange(SEGMENT), side="left") if len(size) else np.zeros(SEGMENT, int)
-        grid = seq[np.minimum(start[None, :] + np.arange(SEGMENT)[:, None], len(seq) - 1)] if len(size) else None
         out = np.zeros((len(texts), len(self.langs)))
-        for k, (t, width) in enumerate(zip(self.tables, self.widths)):
-            own = self.columns[k][grid] if len(size) else None
-            state = np.zeros(len(doc), np.int32)
-            phrases = np.zeros(len(doc), np.int32)
+        for k in range(len(self.langs)):
+            own, state = self.columns[k][seq], 0
+            step = CHUNK // SEGMENT
+            for a in range(0, len(doc), step):
+                z = slice(a, a + step)
+                phrases, state = self._parse(k, own, start[z], size[z], part[z], state)
+                out[:, k] += np.bincount(doc[z], phrases, len(texts)) * self.bits[k]
+        return out, sizes, letter
+
+    def _parse(self, k: int, own: np.ndarray, start: np.ndarray, size: np.ndarray, part: np.ndarray, state: int) -> tuple[np.ndarray, int]:
+        """Phrases that begin in each segment; the segments of a text follow each other. state: what the segment before the first leaves."""
+        t, width, n = self.tables[k], self.widths[k], len(start)
+        # Segments in the order of their sizes, so that those still going on stand in front.
+        order = np.argsort(-size, kind="stable")
+        going = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")
+        begins = np.zeros((SEGMENT, n), np.bool_)
+        ends = np.zeros(n, np.int32)
+        at = start[order]
+        for j in range(SEGMENT):
+            m = going[j]
+            if not m:
+                break
+            x = t[ends[:m] * width + own[at[:m] + j]]
+            begins[j, :m] = x >> 15
+            ends[:m] = x & (MISS - 1)
+        column = np.empty(n, np.int64)
+        column[order] = np.arange(n)
+        leaves, thought = ends[column], ends[column]
+        phrases = begins.sum(0, dtype=np.int64)[column]
+        upto = np.cumsum(begins, axis=0, dtype=np.int16)
+        todo, rest, rounds = np.flatnonzero(part > 0), np.zeros(0, np.int64), 0
+        while len(todo):
+            before = np.where(todo > 0, leaves[todo - 1], state)
+            now, count, live = before.copy(), np.zeros(len(todo), np.int64), np.arange(len(todo))
             for j in range(SEGMENT):
-                n = active[j]
-                if not n:
+                live = live[size[todo[live]] > j]
+                if not len(live):
                     break
-                x = t[state[:n] * width + own[j, :n]]
-                phrases[:n] += x >> 15
-                state[:n] = x & (MISS - 1)
-            out[:, k] = np.bincount(doc, phrases, len(texts)) * self.bits[k]
-        return out, sizes, letter
+                seg = todo[live]
+                x = t[now[live] * width + own[start[seg] + j]]
+                new = (x >> 15).astype(np.bool_)
+                same = new & begins[j, column[seg]]
+                met, on = live[same], live[~same]
+                col = column[todo[met]]
+                count[met] += upto[-1, col] - upto[j, col] + 1
+                now[met] = thought[todo[met]]
+                count[on] += new[~same]
+                now[on] = x[~same] & (MISS - 1)
+                live = on
+            phrases[todo] = count
+            # Where the parses never met, the next segment starts from another state than thought.
+            changed = todo[leaves[todo] != now]
+            leaves[todo] = now
+            todo = np.union1d(rest, changed[changed + 1 < n] + 1)
+            todo = todo[part[todo] > 0]
+            # In texts that repeat themselves parses may never meet: then a segment waits until the one before is settled.
+            rounds += 1
+            waits = np.isin(todo - 1, todo) & (rounds > 4)
+            todo, rest = todo[~waits], todo[waits]
+        return phrases, int(leaves[-1]) if n else state
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Languages and scores. Long texts are cut for memory only: their pieces' costs add up."""
-        pieces, owner = [], []
-        for i, x in enumerate(texts):
-            x = _fold(x or "")
-            for a in range(0, max(1, len(x)), CHUNK):
-                pieces.append(x[a : a + CHUNK])
-                owner.append(i)
+        """Languages and scores, from whole texts taken together up to CHUNK characters."""
         cost, letter = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.bool_)
+        folded = [_fold(x or "") for x in texts]
         a = 0
-        while a < len(pieces):
+        while a < len(folded):
             b, n = a, 0
-            while b < len(pieces) and (b == a or n + len(pieces[b]) <= CHUNK):
-                n += len(pieces[b])
+            while b < len(folded) and (b == a or n + len(folded[b]) <= CHUNK):
+                n += len(folded[b])
                 b += 1
-            c, _, has = self.costs(pieces[a:b])
-            np.add.at(cost, owner[a:b], c)
-            np.logical_or.at(letter, owner[a:b], has)
+            cost[a:b], _, letter[a:b] = self.costs(folded[a:b])
             a = b
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -203,8 +244,15 @@ def fit(labelled: DataFrame, key: str = "doc_id", symbols: int = SYMBOLS) -> Mod
     letters = F.trim(F.regexp_replace("text", r"\P{L}+", " "))
     rows = labelled.where("lang is not null and text is not null").select("lang", F.xxhash64(F.lit("sample"), "text").alias("h"), "text")
     known = rows.select("lang", "h", letters.alias("t")).select("lang", "h", F.octet_length("t").alias("n"), F.length("t").alias("c")).where("n > 0").groupBy("lang", "h").agg(F.max("n").alias("n"), F.max("c").alias("c"))
-    w = Window.partitionBy("lang").orderBy("h")
-    few = known.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(SAMPLE_DOCS, symbols // 2))
+    # Sums by parts of the hash range say up to which part a language's texts are needed; only those are put in order.
+    known = known.withColumn("part", F.pmod(F.shiftrightunsigned("h", 40), F.lit(HASH_PARTS)))
+    known = written(known, "letters")
+    w = Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = known.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(F.col("n") + 1).alias("s"))
+    sums = sums.select("lang", "part", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("c"), F.coalesce(F.sum("s").over(w), F.lit(0)).alias("s"))
+    parts = written(sums.where((F.col("c") < SAMPLE_DOCS) | (F.col("s") < symbols)).select("lang", "part"), "parts")
+    w = Window.partitionBy("lang").orderBy("part", "h")
+    few = known.join(parts, ["lang", "part"]).withColumn("rn", F.row_number().over(w))
     few = few.withColumn("before", F.sum(F.col("n") + 1).over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n") - 1)
     found: dict[str, list[tuple[int, int, int]]] = {}
     for r in few.where((F.col("rn") <= SAMPLE_DOCS) | (F.col("before") < symbols)).select("lang", "h", "n", "c").collect():
