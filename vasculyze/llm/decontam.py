@@ -7,17 +7,17 @@ Myers' bit-parallel algorithm finds the least distance of the item to a substrin
 
 from __future__ import annotations
 
-import functools
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, tidy
+from .common import kept, small_batches, tidy
 
-#: Errors allowed per hundred characters; shorter items count only where they stand exactly; characters of items looked for at once.
-PERCENT, LEAST, AT_ONCE = 8, 24, 4_000_000
+#: Errors allowed per hundred characters; characters of items looked for at once.
+PERCENT, AT_ONCE = 8, 4_000_000
 _GAPS = re.compile(r"[\W_]+")
 
 
@@ -28,7 +28,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, percent: int = PERCENT) -> int:
-    return len(item) * percent // 100 if len(item) >= LEAST else 0
+    return len(item) * percent // 100
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -136,9 +136,9 @@ def _blocks(benchmark: DataFrame):
         yield [(r["item_id"], r["text"]) for r in part.dropDuplicates().collect()]
 
 
-@functools.lru_cache(2)
-def _items(key: tuple, percent: int) -> Items:
-    return Items(list(key), percent)
+def _items(name: str, items: tuple, percent: int) -> Items:
+    """The machine of a broadcast's items, which the worker keeps for its next tasks with them."""
+    return kept(f"items {name}", lambda: Items(list(items), percent))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, key: str = "doc_id") -> DataFrame:
@@ -152,16 +152,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT, ke
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id bigint, distance int, end int"
     out = None
     for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(tuple(items))
+        shared, name = spark.sparkContext.broadcast(tuple(items)), uuid.uuid4().hex
 
-        def run(batches, shared=shared):
-            look = _items(shared.value, percent)
+        def run(batches, shared=shared, name=name):
+            look = _items(name, shared.value, percent)
             for b in batches:
                 rows = [(i, *hit) for i, text in enumerate(b.column(1)) for hit in look.find(text.as_py())]
                 at, item, d, e = zip(*rows) if rows else ((),) * 4
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(d, pa.int32()), pa.array(e, pa.int32())], names=[key, "item_id", "distance", "end"])
 
-        part = docs.select(key, "text").mapInArrow(tidy(run), schema)
+        part = docs.select(key, "text").mapInArrow(tidy(run, "items"), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -171,15 +171,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, *, percent: int = PERCENT) -> D
     spark = docs.sparkSession
     small_batches(spark)
     for items in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(tuple(items))
+        shared, name = spark.sparkContext.broadcast(tuple(items)), uuid.uuid4().hex
         at = docs.columns.index("text")
 
-        def run(batches, shared=shared, at=at):
-            look = _items(shared.value, percent)
+        def run(batches, shared=shared, name=name, at=at):
+            look = _items(name, shared.value, percent)
             for b in batches:
                 yield b.filter(pa.array([not look.find(x.as_py(), first=True) for x in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(tidy(run), docs.schema)
+        docs = docs.mapInArrow(tidy(run, "items"), docs.schema)
     return docs
 
 
