@@ -101,10 +101,30 @@ def release() -> None:
         trim(0)
 
 
-def tidy(run):
-    """A mapInArrow function that releases its memory when its task ends."""
+_KEPT: dict[str, object] = {}
+
+
+def kept(kind: str, make):
+    """What `make` gives, kept by this Python worker for its next tasks of the same kind."""
+    if kind not in _KEPT:
+        _KEPT[kind] = make()
+    return _KEPT[kind]
+
+
+def let_go(kind: str = "") -> None:
+    """Throws away what the worker keeps for tasks of other kinds: workers are shared by all steps of a job."""
+    others = [k for k in _KEPT if not kind or not k.startswith(kind)]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        release()
+
+
+def tidy(run, kind: str = ""):
+    """A mapInArrow function that keeps no other kind's objects, and releases its memory when its task ends."""
 
     def inner(batches):
+        let_go(kind)
         try:
             yield from run(batches)
         finally:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, release, small_batches, splitmix, tidy, written
+from .common import components, let_go, release, small_batches, splitmix, tidy, written
 
 #: A verifying task's documents and n-grams, and a bitmap task's documents, of each of two blocks; shared n-grams of a
 #: fragment; words remembered; rows held back.
@@ -219,6 +219,7 @@ def _compatible(percent: int):
     """A pair of blocks of a large class: trees of documents whose bitmaps and sizes leave a link possible."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         levels = Levels(percent)
         pdf = pdf.drop_duplicates("node")
         size, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
@@ -254,6 +255,7 @@ def _verify(n: int, percent: int):
     """One pair of blocks of a class: trees of links, and how many documents each node links to."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         pdf = pdf.drop_duplicates("node").reset_index(drop=True)
         shingle = Shingler(n)
         sets = [shingle(x) for x in pdf["text"]]

@@ -10,7 +10,6 @@ for executors have no common file system but Spark's.
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, ordered_buckets, partitions, running_total, small_batches, splitmix, tidy, written
+from .common import bucket_of, kept, ordered_buckets, partitions, running_total, small_batches, splitmix, tidy, written
 
 MAGIC = b"VTOK1\0\0\0"
 HEAD = struct.Struct("<8sQQQIIq")
@@ -246,9 +245,8 @@ class Encoder:
         return out
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(f"tokenizer {path}", lambda: Encoder(path))
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 1000) -> DataFrame:
@@ -283,7 +281,7 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 1
         if keys:
             yield close()
 
-    return written(d.mapInArrow(tidy(run), "bucket int, seq int, n_docs bigint, n_ids bigint, shard binary"), "token-shards")
+    return written(d.mapInArrow(tidy(run, "tokenizer"), "bucket int, seq int, n_docs bigint, n_ids bigint, shard binary"), "token-shards")
 
 
 def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:
