@@ -163,24 +163,31 @@ def test_language_takes_any_number_of_languages(spark):
     assert len(got.langs) == 600
 
 
-def test_cross_parsing_counts_phrases():
+def greedy(symbols, sample):
+    """Phrases of the greedy parse: each the longest that the sample has, or a symbol that it lacks."""
+    sample, i, phrases = bytes(sample), 0, 0
+    while i < len(symbols):
+        j = i + 1
+        while j <= len(symbols) and bytes(symbols[i:j]) in sample:
+            j += 1
+        i, phrases = max(i + 1, j - 1), phrases + 1
+    return phrases
+
+
+@pytest.mark.parametrize(("letters", "chunk"), [("ab ", 1_000_000), ("abcdef ", 1_000_000), ("ab ", 512), ("aa", 1_000_000)])
+def test_cross_parsing_counts_phrases(letters, chunk, monkeypatch):
     import random
 
+    monkeypatch.setattr(langid, "CHUNK", chunk)
     random.seed(1)
-    ref = "".join(random.choice("ab ") for _ in range(60))
-    m = langid.Model({"x": [ref]}, symbols=1000)
-    seq = [int(x) for x in m.symbols([ref])[0]]
-    text = "".join(random.choice("abc ") for _ in range(200)).strip()
-    s = [int(x) for x in m.symbols([text])[0]]
-    has = {tuple(seq[i:j]) for i, j in itertools.combinations(range(len(seq) + 1), 2)}
-    phrases, i = 0, 0
-    while i < len(s):
-        j = i + 1
-        while j <= len(s) and tuple(s[i:j]) in has:
-            j += 1
-        i = max(i + 1, j - 1)
-        phrases += 1
-    assert abs(m.costs([text])[0][0, 0] / m.bits[0] - phrases) <= 1
+    ref = "".join(random.choice(letters) for _ in range(400))
+    m = langid.Model({"x": [ref], "y": [ref[::-1] + "z"]}, symbols=1000)
+    texts = ["".join(random.choice(letters + "c") for _ in range(n)).strip() for n in (1, 2, 255, 256, 257, 300, 511, 512, 513, 1000, 2000, 3, 0)] + [ref * 4, "a" * 1500]
+    cost, letter = m.costs(texts)[0], m.predict(texts)[0]
+    for k, sample in enumerate((ref, ref[::-1] + "z")):
+        want = [greedy(m.symbols([t])[0].tolist(), m.symbols([sample])[0].tolist()) for t in texts]
+        assert (cost[:, k] / m.bits[k]).round(6).tolist() == want
+    assert len(letter) == len(texts)
 
 
 def test_toxicity(spark, none):
@@ -331,6 +338,25 @@ def test_matches(spark, docs, none):
     assert decontam.matches(none, b).count() == 0 and decontam.matches(d, b.limit(0)).count() == 0
 
 
+def test_matches_all_that_brute_force_does():
+    rng = np.random.default_rng(7)
+    word = lambda n: "".join(rng.choice(list("abc"), n))
+    items = [(i, " ".join(word(int(k)) for k in rng.integers(1, 6, int(n)))) for i, n in enumerate(rng.integers(1, 12, 25))] + [(90, "hello brave new world")]
+    look, hits = decontam.Items(items), 0
+    for _ in range(120):
+        i = int(rng.integers(len(items)))
+        text = list(" ".join([word(4), items[i][1], word(5)]))
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(len(text)))
+            text[at : at + int(rng.integers(0, 2))] = list(word(int(rng.integers(0, 2))))
+        x = decontam.normal("".join(text))
+        want = {(j, edit(decontam.normal(t), x)) for j, t in items if edit(decontam.normal(t), x) <= decontam.budget(decontam.normal(t))}
+        assert {(j, d) for j, d, _ in look.find("".join(text))} == want
+        hits += len(want)
+    assert hits > 50 and [j for j, *_ in look.find("hello brave new wurld")] == [90]
+    assert len(look.find("x " * 40000 + "hello brave gnu world" + " y" * 40000)) == 0 and look.find("x " * 40000 + "Hello, brave new world" + " y" * 40000)[0][:2] == (90, 0)
+
+
 def test_fingerprints(spark, docs, none):
     got = fingerprint.fingerprints(docs).collect()
     order = sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
@@ -346,9 +372,37 @@ def test_fingerprints(spark, docs, none):
     assert f[0] == f[1] != f[3] and f[4] == f[5] == ""
     assert next(r for r in got if r["doc_id"] == 0)["near_next"] == 1
     assert fingerprint.fingerprints(none).count() == 0
-    two = spark.createDataFrame([(f[0], f[3])], "a string, b string")
-    a, b = fingerprint.from_text(F.col("a")), fingerprint.from_text(F.col("b"))
-    assert two.select(fingerprint.as_text(a) == F.col("a"), F.size(fingerprint.merge(a, b)) > 0).head() == (True, True)
+    clash = docs.withColumnsRenamed({"key": "sketch", "size": "bucket", "block": "next"})
+    assert sorted(r["fingerprint"] for r in fingerprint.fingerprints(clash).collect()) == sorted(r["fingerprint"] for r in got)
+    tied = spark.createDataFrame([(1, "b " * 9), (1, "a"), (1, "a"), (2, None)], "doc_id bigint, text string")
+    assert sorted(r["n_chars"] for r in fingerprint.fingerprints(tied).collect()) == [0, 1, 1, 18]
+
+
+def test_sketches_merge_and_contain_as_sets_do(spark):
+    rng = np.random.default_rng(2)
+    text = lambda n, k: " ".join(f"w{x}" for x in rng.integers(0, k, n))
+    texts = [text(int(n), int(k)) for n, k in zip([0, 1, 3, 5, 6, 30, 60, 64, 68, 69, 72, 200, 500, 4000, 40, 70], [9, 9, 9, 2, 2, 9, 90, 900, 900, 900, 900, 900, 9000, 9000, 2, 2])]
+    texts += [texts[5] + " " + texts[11], texts[12][: len(texts[12]) // 2], "", "A b\tC\nd e", "a b c d e"]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    d = fingerprint._with_sketch(d, "text", "i", "text").withColumn("all", fingerprint.shingles(fingerprint.word_hashes(F.col("text"))))
+    got = {r["i"]: r for r in d.collect()}
+    top = fingerprint.TOP // fingerprint.ONE_IN
+    sets = {i: set(r["all"]) for i, r in got.items()}
+    want = lambda s: (1, sorted(s)) if len(s) <= 64 else (8, sorted(x for x in s if x < top))
+    assert all((r["sketch"]["one_in"], r["sketch"]["hashes"]) == want(sets[i]) for i, r in got.items())
+    assert {got[i]["sketch"]["one_in"] for i in got} == {1, 8} and sets[19] == sets[20] != sets[18] == set()
+    assert all(len(sets[i]) == len({tuple(texts[i].lower().split()[j : j + 5]) for j in range(max(1, len(texts[i].split()) - 4))} - {()}) for i in got)
+    a, b = d.select("i", F.col("sketch").alias("a")), d.select(F.col("i").alias("j"), F.col("sketch").alias("b"))
+    x, y = F.col("a"), F.col("b")
+    back = fingerprint.from_text(fingerprint.as_text(x))
+    for r in a.join(b, F.expr("i <= j")).select("i", "j", fingerprint.merge(back, y).alias("m"), fingerprint.containment(back, y).alias("c")).collect():
+        s, t = sets[r["i"]], sets[r["j"]]
+        assert (r["m"]["one_in"], r["m"]["hashes"]) == want(s | t)
+        if len(s) > 64 or len(t) > 64:
+            low, high = ({h for h in z if h < top} for z in (s, t))
+        else:
+            low, high = s, t
+        assert r["c"] == (1 if not s and not t else 0 if not low or not high else len(low & high) / min(len(low), len(high)))
 
 
 def test_pipeline(spark):
