@@ -102,22 +102,111 @@ def test_language_model(spark, docs, none):
     assert hpylm.score(none).count() == 0
 
 
-def test_seating_is_a_distribution():
+def test_blocks_of_different_texts_stay_apart(spark, tmp_path):
+    for i, part in enumerate([[(3, "a b c")], [(3, "d e f")], [(103, "a a a a")], [(None, "a b")], [(None, "d d")], [(3, "a b c")]]):
+        spark.createDataFrame(part, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+    some = spark.read.parquet(*[f"{tmp_path}/{i}" for i in range(6)])
+    train = Counter()
+    texts = [(r["doc_id"], r["text"].split() + [""]) for r in some.collect()]
+    for i, ws in texts:
+        if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2:
+            train.update(ws)
+    n, v = sum(train.values()), len(train)
+    want = sorted((str(i), len(ws), round(sum(np.log10((train[w] + 1) / (n + v + 1)) for w in ws), 6)) for i, ws in texts)
+    got = hpylm.score(some).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["base_score"], 6)) for r in got) == want
+    assert len({r["score"] for r in got if r["base_score"] == got[0]["base_score"]}) == 1
+
+
+def partitions(c):
+    """Seatings of c customers as lists of table sizes, each as often as it occurs."""
+    if c == 1:
+        return [[1]]
+    return [p[:i] + [p[i] + 1] + p[i + 1 :] for p in partitions(c - 1) for i in range(len(p))] + [[*p, 1] for p in partitions(c - 1)]
+
+
+def test_tables_follow_their_law():
+    for d in (0.3, 0.8):
+        seats = hpylm.Tables(d)
+        for c in (2, 3, 6):
+            weight, law = 0.7, np.zeros(c)
+            for p in partitions(c):
+                law[len(p) - 1] += weight ** len(p) * np.prod([np.prod([k - d for k in range(1, x)]) for x in p])
+            got = seats.draw(np.full(200_000, c), np.full(200_000, weight), np.arange(200_000, dtype=np.uint64), c)
+            assert np.abs(np.bincount(got - 1, minlength=c) / 200_000 - law / law.sum()).max() < 0.006
+        for weight in (0.01, 1.0, 30.0, 5000.0):
+            law = seats.stirling(hpylm.EXACT) + np.arange(1, hpylm.EXACT + 1) * np.log(weight)
+            law = np.exp(law - law.max())
+            mean = (law * np.arange(1, hpylm.EXACT + 1)).sum() / law.sum()
+            sd = np.sqrt((law * (np.arange(1, hpylm.EXACT + 1) - mean) ** 2).sum() / law.sum())
+            got = seats.saddle(np.array([float(hpylm.EXACT)]), np.array([weight]))
+            assert abs(got[0][0] - mean) < 0.15 * sd + 0.1 and abs(got[1][0] - sd) < 0.15 * sd + 0.2
+        t = seats.draw(np.array([0, 1, 2, 300, 10**9]), np.full(5, 3.0), np.arange(5, dtype=np.uint64), 1)
+        assert t[0] == 0 and t[1] == 1 and (t[2:] >= 1).all() and t[3] <= 300
+
+
+def one_by_one(texts, d, d0, rounds):
+    """P(word | context) by unseating and reseating one customer after another, averaged: a plain sampler of the same model."""
     rng = np.random.default_rng(0)
-    word = np.repeat(np.arange(200), 3)
-    ctx = np.tile(np.arange(3), 200)
-    count = rng.integers(1, 60, 600)
-    s = hpylm.Seating(word, ctx, count, np.full(4, 300.0), np.full(4, 1e4), 200, 200)
-    for no in range(3):
-        s.sweep(np.arange(200, dtype=np.uint64), no)
-        s.tables = np.append(np.bincount(ctx, s.t, 3), s.t0.sum())
-        s.customers = np.append(np.bincount(ctx, count, 3), s.c0.sum())
-        assert (s.t >= 1).all() and (s.t <= count).all() and (s.t0 <= s.c0).all()
-    for c in range(3):
-        p = s.predictive(np.arange(200), np.full(200, c), np.flatnonzero(ctx == c)).sum()
-        free = (2 + 0.75 * s.tables[c]) / (2 + s.customers[c])
-        unknown = free * (50 + 0.6 * s.tables[-1]) / (50 + s.customers[-1]) / 201
-        assert p + unknown == pytest.approx(1)
+    words = sorted({w for t in texts for w in t})
+    rooms, root = {}, {w: [] for w in words}
+    s, s0 = hpylm.STRENGTH
+
+    def p0(w):
+        n, t = sum(map(sum, root.values())), sum(map(len, root.values()))
+        return (sum(root[w]) - d0 * len(root[w]) + (s0 + d0 * t) / (len(words) + 1)) / (s0 + n)
+
+    def sit(tables, d, new):
+        at = rng.choice(len(tables) + 1, p=(x := np.array([k - d for k in tables] + [new])) / x.sum())
+        if at == len(tables):
+            tables.append(0)
+        tables[at] += 1
+        return tables[at] == 1
+
+    def leave(tables):
+        at = rng.choice(len(tables), p=np.array(tables) / sum(tables))
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            return True
+
+    def enter(v, w):
+        room = rooms.setdefault(v, {})
+        if sit(room.setdefault(w, []), d, (s + d * sum(map(len, room.values()))) * p0(w)):
+            sit(root[w], d0, (s0 + d0 * sum(map(len, root.values()))) / (len(words) + 1))
+
+    moves = [(v, w) for t in texts for v, w in zip([None, *t], t)]
+    for m in moves:
+        enter(*m)
+    total = Counter()
+    for i in range(rounds):
+        for v, w in moves:
+            if leave(rooms[v][w]):
+                leave(root[w])
+            enter(v, w)
+        if i >= rounds // 10:
+            base = {w: p0(w) for w in words}
+            for v, room in rooms.items():
+                n, t = sum(map(sum, room.values())), sum(map(len, room.values()))
+                for w in words:
+                    k = room.get(w, [])
+                    total[v, w] += (sum(k) - d * len(k) + (s + d * t) * base[w]) / (s + n) / (rounds - rounds // 10)
+    return total
+
+
+def test_language_model_is_that_of_a_plain_sampler(spark):
+    said = ["a b a b c", "a b", "a b", "c a b", "d", "a a a a a a", "b c d", "a b a b c"]
+    some = spark.createDataFrame([(10 + i, t) for i, t in enumerate(said)], "doc_id bigint, text string")
+    texts = [[*t.split(), ""] for i, t in enumerate(said) if zlib.crc32(str(10 + i).encode()) % 7 != 2]
+    pairs = Counter((v, w) for t in texts for v, w in zip([None, *t], t))
+    of = Counter(pairs.values())
+    words = Counter(w for _, w in pairs)
+    d, d0 = hpylm.discount(of[1], of[2]), hpylm.discount(*(sum(n == k for n in words.values()) for k in (1, 2)))
+    p = one_by_one(texts, d, d0, 1500)
+    assert sum(p["a", w] for w in words) < 1
+    for r in hpylm.score(some, bucket_tokens=7).collect():
+        t = [*said[r["doc_id"] - 10].split(), ""]
+        assert r["score"] == pytest.approx(sum(np.log10(p[v, w]) for v, w in zip([None, *t], t)), abs=0.04 * len(t))
 
 
 def test_language(spark, docs, none):

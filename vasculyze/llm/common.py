@@ -37,15 +37,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark forget the shuffles and broadcasts of finished steps,
-    which it keeps until the driver happens to collect its garbage."""
+    """Deletes written tables that nothing reads any more, and forgets what made them."""
     for df in tables:
         for file in df.inputFiles()[:1]:
             folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+    for df in tables[:1]:
+        forget(df.sparkSession)
+
+
+def forget(spark: SparkSession) -> None:
+    """Spark keeps shuffles and broadcasts of finished steps until the driver happens to collect its garbage: here it does."""
     gc.collect()
-    if tables:
-        tables[0].sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def crc32_of(col) -> F.Column:

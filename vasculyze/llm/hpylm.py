@@ -1,23 +1,27 @@
 """A hierarchical Pitman-Yor language model over whole words.
 
-Restaurants: one per context, all with the same parent, the word restaurant, whose own base is uniform over the training
-vocabulary and one unknown word. A token's context is the last hub word before it in its document (hubs are the most
-frequent words; a start symbol before the first), so contexts are few and every word, however rare, has its own dishes.
-
-Seats: for a word, its customers in each context sit at tables, and each context's tables are customers of the word
-restaurant. Given the totals of all restaurants, words are independent of each other, so a Gibbs sweep unseats and
-reseats one word's customers after another's, all words of a partition at a time. Totals are gathered over the corpus
-after each round of sweeps. Predictive probabilities are averaged over the sweeps after burn-in. Random numbers are
-hashes of (word, context, customer, sweep), so lost tasks repeat themselves exactly.
-
-Flow: texts become blocks of some million characters, stored as word numbers with the block's vocabulary. Blocks send
-their words' counts to the words, and words send probabilities back to the blocks that have them: neither the texts nor
-the model ever meet in one place, and the traffic is a row per word and block.
+Restaurants: one per previous word (and one for the start of a text), all with the same parent, the word restaurant, whose own
+base is uniform over the training vocabulary and one unknown word. Every context that the corpus has gets its restaurant.
+
+Seats: a dish is a word in a restaurant. Its customers sit at tables, and each table of a context is a customer of its word in
+the word restaurant. A Gibbs round unseats all customers of every dish and seats them again: given the other restaurants, a
+dish of c customers has t tables with probability in proportion to S(c, t) * w^t, where S are the generalised Stirling numbers
+of the discount and w is the weight of a new table, (strength + discount * tables of the context) * P(word). Tables are drawn
+from just this law (customers beyond EXACT: from its saddle point, whose error falls as 1/c). All dishes of a round are drawn
+at once, from the totals that the round before left, and their tables go to the parent, whose dishes are drawn likewise.
+After BURN rounds, predictive probabilities are averaged over KEEP rounds. The discounts are estimated from counts of counts.
+
+Flow: texts become blocks, stored as word numbers with the block's vocabulary as 64-bit hashes. Hashes of words, and of pairs,
+are dealt out to buckets of the hash range, as packed arrays, a row for each block and bucket: a hot word is one number per
+block, whatever its share of the corpus. Buckets add up counts and answer each block in the order in which it asked. Of pairs
+that occur once, nothing is left to draw; for each of the others one block tells the bucket the two words, and rounds are
+messages between buckets of pairs and buckets of words. Texts, counts and model never meet in one place.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import defaultdict
 
@@ -25,46 +29,154 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, splitmix, tidy, together, written
+from .common import forget, let_go, release, small_batches, splitmix, tidy, written
 
-BLOCK_CHARS, HUBS, TOP_OF_BLOCK = 6_000_000, 23, 256
-#: Sweeps: burn-in and averaged, of each round; customers of a dish seated one by one, beyond which they sit down in groups.
-BURN, KEEP, ONE_BY_ONE = 2, 4, 48
-DISCOUNT, STRENGTH = (0.75, 0.6), (2.0, 50.0)
+#: Characters of a block, training tokens that a bucket stands for, rows of an Arrow batch of packed arrays.
+BLOCK_CHARS, BUCKET_TOKENS, PACKED_ROWS = 12_000_000, 2_500_000, 32
+#: Rounds before those that are averaged, and these; customers up to which the law of tables is summed term by term.
+BURN, KEEP, EXACT = 2, 2, 256
+#: Strengths of contexts and of the word restaurant.
+STRENGTH = (2.0, 50.0)
+#: No word is empty or a blank: the end of a text, and the context before its first word.
 END = b""
+H_END, H_START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (END, b" "))
 
+_BLOCK = "block bigint, keys binary, nulls binary, sizes binary, held binary, tokens binary, vocabulary binary, counts binary, n bigint"
+#: A message: to a block or bucket from another, with packed arrays and sums.
+_MESSAGE = "dst bigint, src bigint, a binary, b binary, c binary, d binary, x double, y double"
+_NAMES = ["dst", "src", "a", "b", "c", "d", "x", "y"]
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(3).compress(np.ascontiguousarray(x).tobytes())
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, compressed."""
+    x = np.ascontiguousarray(x)
+    return zstandard.ZstdCompressor(1).compress(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes())
 
-def _unpack(b: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
+
+def unpack(b, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
+def pack_rising(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def unpack_rising(b, dtype=np.uint64) -> np.ndarray:
+    return np.cumsum(unpack(b, dtype), dtype=dtype)
+
+
+def _messages(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4, pa.float64(), pa.float64()]
+    rows = [(*r, *[None] * (8 - len(r))) for r in rows]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_NAMES)
+
+
+def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's share of ascending hashes begins; and the end."""
+    return np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _uniform(names: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) that depend on names and salt alone."""
+    return ((splitmix(names ^ splitmix(np.full(1, salt, np.uint64))) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+# Seats.
+
+
+class Tables:
+    """Draws the number of tables of dishes with so many customers, for one discount."""
+
+    def __init__(self, discount: float):
+        self.d, self.rows = discount, [np.zeros(1)]
+
+    def stirling(self, c: int) -> np.ndarray:
+        """log S(c, t) for t from 1 to c, of the generalised Stirling numbers: sums over seatings of (1-d)(2-d)...(size-1-d)."""
+        while len(self.rows) < c:
+            n, last = len(self.rows), self.rows[-1]
+            t = np.arange(1, n + 1)
+            stay = np.append(last + np.log(n - t * self.d), -np.inf)
+            self.rows.append(np.logaddexp(stay, np.concatenate([[-np.inf], last])))
+        return self.rows[c - 1]
+
+    def draw(self, count: np.ndarray, weight: np.ndarray, names: np.ndarray, salt: int) -> np.ndarray:
+        """count: customers of each dish; weight: of a new table. -> tables."""
+        out = np.minimum(count, 1).astype(np.int64)
+        some = np.flatnonzero(count > 1)
+        order = some[np.argsort(count[some], kind="stable")]
+        u, log_w = _uniform(names[order], 2 * salt), np.log(weight[order])
+        c = count[order]
+        for n, a, z in zip(*(x.tolist() for x in _runs(c[c <= EXACT]))):
+            s, t = self.stirling(n), np.arange(1, n + 1)
+            step = max(1, 2_000_000 // n)
+            for i in range(a, z, step):
+                k = slice(i, min(z, i + step))
+                law = s + t * log_w[k, None]
+                law = np.cumsum(np.exp(law - law.max(1, keepdims=True)), axis=1)
+                out[order[k]] = 1 + np.minimum((law < u[k, None] * law[:, -1:]).sum(1), n - 1)
+        many = order[c > EXACT]
+        if len(many):
+            mean, sd = self.saddle(count[many].astype(float), weight[many])
+            v = _uniform(names[many], 2 * salt + 1)
+            z = np.sqrt(-2 * np.log(u[c > EXACT])) * np.cos(2 * np.pi * v)
+            out[many] = np.clip(np.rint(mean + sd * z), 1, count[many])
+        return out
+
+    def saddle(self, c: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of the tables of many customers. One customer's table stands for itself; the others, of all
+        sizes, are as Poisson with generating function w * (1 - (1-x)^d) / d, given the customers' number: x is where the
+        expected number is c."""
+        low, high = np.zeros(len(c)), np.full(len(c), 300.0)  # of y = -log(1 - x)
+        for _ in range(60):
+            y = (low + high) / 2
+            less = -np.expm1(-y) * (w * np.exp((1 - self.d) * y) + (1 - self.d) * np.exp(y)) < c - 1
+            low, high = np.where(less, y, low), np.where(less, high, y)
+        y = (low + high) / 2
+        x, g1 = -np.expm1(-y), np.exp((1 - self.d) * y)
+        others = w * -np.expm1(-self.d * y) / self.d
+        cross = w * x * g1
+        spread = cross + (1 - self.d) * (w * x * x * g1 * np.exp(y) + x * np.exp(2 * y))
+        return 1 + others, np.sqrt(np.maximum(others - cross * cross / spread, 0))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of an ascending array with the begin and end of each."""
+    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    return x[begin], begin, np.append(begin[1:], len(x)) if len(x) else begin
+
+
+def discount(ones: float, twos: float) -> float:
+    """From the numbers of dishes with one and with two customers."""
+    return min(max(ones / (ones + 2 * twos), 0.1), 0.95) if ones + twos else 0.5
+
+
+# Blocks.
 
 
 def _blocks(mod: int, held: int):
-    """Texts to blocks: (block, docs, ids, vocabulary, training counts, and the block's most frequent words)."""
+    """Texts to blocks. A block's name is its task's number and its own in the task; the table is written once."""
 
     def run(batches):
+        task, seq = TaskContext.get().partitionId(), itertools.count()
+
         def close():
-            words = list(vocabulary)
-            tokens = np.concatenate(ids)
+            words, tokens = list(vocabulary), np.concatenate(ids)
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             out = np.fromiter((zlib.crc32(b"" if k is None else str(k).encode()) % mod == held for k in keys), np.bool_, len(keys))
-            counts = np.bincount(tokens[~np.repeat(out, size)], minlength=len(words)).astype(np.uint32)
-            top = np.argsort(-counts.astype(np.int64), kind="stable")[:TOP_OF_BLOCK]
-            name = xxhash.xxh3_64_intdigest(np.concatenate([np.frombuffer(str(keys).encode(), np.uint8), size.view(np.uint8)]).tobytes(), seed=len(tokens)) >> 1
-            key = np.array([0 if k is None else k for k in keys], np.int64)
-            null = np.array([k is None for k in keys], np.bool_)
-            cols = [
-                pa.array([name], pa.int64()),
-                *(pa.array([x], pa.binary()) for x in (_pack(key), _pack(null), _pack(size), _pack(out), _pack(tokens.astype(np.uint32)), zstandard.ZstdCompressor(3).compress(b"\n".join(words)), _pack(counts))),
-                pa.array([[words[i] for i in top]], pa.list_(pa.binary())), pa.array([counts[top].astype(np.int64).tolist()], pa.list_(pa.int64())),
-            ]
-            return pa.RecordBatch.from_arrays(cols, names=["block", "keys", "nulls", "sizes", "held", "tokens", "words", "counts", "top", "top_n"])
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            counts = np.bincount(tokens[~np.repeat(out, size)], minlength=len(words))
+            hashes, counts = np.append(hashes, H_START), np.append(counts, (~out).sum())
+            order = np.argsort(hashes)
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order))
+            packed = [pack(np.array([0 if k is None else k for k in keys], np.int64)), pack(np.array([k is None for k in keys])), pack(size.astype(np.uint32)), pack(out), pack(rank[tokens]), pack_rising(hashes[order]), pack(counts[order].astype(np.uint32))]
+            n = int(counts.sum() - (~out).sum())
+            return pa.RecordBatch.from_arrays([pa.array([task << 24 | next(seq)], pa.int64()), *(pa.array([x], pa.binary()) for x in packed), pa.array([n], pa.int64())], names=[x.split()[0] for x in _BLOCK.split(", ")])
 
         keys, ids, chars = [], [], 0
         vocabulary: dict[bytes, int] = defaultdict(itertools.count().__next__)
@@ -77,7 +189,7 @@ def _blocks(mod: int, held: int):
                     vocabulary = defaultdict(itertools.count().__next__)
                 ws = x.lower().split()
                 ws.append(END)
-                ids.append(np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws)))
+                ids.append(np.fromiter(map(vocabulary.__getitem__, ws), np.uint32, len(ws)))
                 keys.append(k)
                 chars += len(x)
         if keys:
@@ -86,322 +198,321 @@ def _blocks(mod: int, held: int):
     return run
 
 
-_BLOCK = "block bigint, keys binary, nulls binary, sizes binary, held binary, tokens binary, words binary, counts binary, top array<binary>, top_n array<bigint>"
+class Block:
+    """A block read back, with its pairs in the order of their hashes."""
 
+    def __init__(self, row: dict, pairs: bool = True):
+        self.vocabulary = unpack_rising(row["vocabulary"])
+        self.sizes, self.held = unpack(row["sizes"], np.uint32).astype(np.int64), unpack(row["held"], np.bool_)
+        self.tokens = unpack(row["tokens"], np.uint32).astype(np.int64)
+        if not pairs:
+            return
+        context = np.empty_like(self.tokens)
+        context[1:] = self.tokens[:-1]
+        context[np.cumsum(self.sizes) - self.sizes] = np.searchsorted(self.vocabulary, H_START)
+        h = splitmix(splitmix(self.vocabulary[context]) + self.vocabulary[self.tokens])
+        self.pairs, first, self.at = np.unique(h, return_index=True, return_inverse=True)
+        self.context, self.word = context[first], self.tokens[first]
 
-def contexts(tokens: np.ndarray, sizes: np.ndarray, hub_of: np.ndarray) -> np.ndarray:
-    """The context of each token: 1 + the number of the last hub before it in its document, 0 where there is none."""
-    hub = hub_of[tokens]
-    at = np.where(hub >= 0, np.arange(len(tokens)), -1)
-    last = np.concatenate([[-1], np.maximum.accumulate(at)[:-1]]) if len(at) else at
-    first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return np.where(last >= first, 1 + hub[np.maximum(last, 0)], 0)
+    def training(self) -> np.ndarray:
+        return np.bincount(self.at, ~np.repeat(self.held, self.sizes), len(self.pairs)).astype(np.uint32)
 
 
-def _hub_table(words: list[bytes], hubs: list[bytes]) -> np.ndarray:
-    number = {w: i for i, w in enumerate(hubs)}
-    return np.fromiter((number.get(w, -1) for w in words), np.int64, len(words))
-
-
-def _asked(hubs: list[bytes]):
-    """Blocks to (word, block, idx, contexts, counts): each word of a block with the contexts it has there and its training counts in them."""
+def _each(make):
+    """A mapInArrow function: for each row, the messages that make(row) gives."""
 
     def run(batches):
-        n_ctx = len(hubs) + 1
         for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(j)[i].as_py() for j, c in enumerate(("block", "sizes", "held", "tokens", "words"))}
-                words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
-                tokens, sizes, held = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["sizes"], np.int64), _unpack(row["held"], np.bool_)
-                pair = tokens * n_ctx + contexts(tokens, sizes, _hub_table(words, hubs))
-                pairs, at = np.unique(pair, return_inverse=True)
-                counts = np.bincount(at, ~np.repeat(held, sizes), len(pairs)).astype("<u4")
-                word, ctx = pairs // n_ctx, (pairs % n_ctx).astype(np.uint8)
-                ends = np.searchsorted(word, np.arange(len(words) + 1)).astype(np.int32)
-                for a in range(0, len(words), 50_000):
-                    z = min(len(words), a + 50_000)
-                    off = ends[a : z + 1] - ends[a]
-                    part = slice(ends[a], ends[z])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(words[a:z], pa.binary()), pa.array(np.full(z - a, row["block"], np.int64)), pa.array(np.arange(a, z, dtype=np.int32)), _binary(off, ctx[part]), _binary(off * 4, counts[part])],
-                        names=["word", "block", "idx", "ctx", "n"],
-                    )
+            for row in b.to_pylist():
+                yield from _messages(make(row)).to_batches()
 
-    return run
+    return tidy(run)
 
 
-def _binary(offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(flat).tobytes())])
+def _per_bucket(make):
+    """A function of a bucket's messages (and of a second table's, if there is one)."""
 
+    def run(*tables: pa.Table) -> pa.Table:
+        let_go()
+        out = _messages(make(*(t.sort_by([("src", "ascending")]).to_pylist() for t in tables)))
+        release()
+        return out
 
-def _flat(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Number of values of each entry of a binary column, and all values."""
-    width = np.dtype(dtype).itemsize
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(offsets) else np.zeros(0, np.uint8)
-    return np.diff(offsets) // width, flat.view(dtype) if len(flat) % width == 0 and flat.flags["ALIGNED"] else np.frombuffer(flat.tobytes(), dtype)
+    return (lambda key, table: run(table)) if make.__code__.co_argcount == 1 else (lambda key, left, right: run(left, right))
 
 
-class Seating:
-    """Tables of many words at once: rows are (word, context) with counts; words' rows stand together.
+# Counts of words and of pairs.
 
-    d, s: discount and strength of contexts and of the word restaurant; tables: totals by context and (last) of the word
-    restaurant; customers: likewise.
-    """
 
-    def __init__(self, word: np.ndarray, ctx: np.ndarray, count: np.ndarray, tables: np.ndarray, customers: np.ndarray, types: int, n_words: int):
-        self.word, self.ctx, self.count = word, ctx, count.astype(np.int64)
-        self.tables, self.customers, self.base, self.n = tables, customers, 1.0 / (types + 1), n_words
-        self.t = np.minimum(self.count, 1)
-        self._seat_root(np.ones(n_words), splitmix(np.arange(n_words, dtype=np.uint64)))
-
-    def _uniform(self, seed: np.ndarray, i: int) -> np.ndarray:
-        return ((splitmix(seed + np.uint64(i * 0x9E37 + 1)) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
-
-    def _seat(self, count: np.ndarray, start: np.ndarray, d: float, seed: np.ndarray) -> np.ndarray:
-        """Customers of each dish sit down in turn: at a new table with weight start, else at one of the dish's i-dt seats' worth."""
-        t = np.minimum(count, 1)
-        live = np.flatnonzero(count > 1)
-        i = 1
-        while len(live):
-            step = 1 if i <= ONE_BY_ONE else max(1, i // 16)
-            k = np.minimum(step, count[live] - i)
-            new = start[live] / np.maximum(start[live] + i - d * t[live], 1e-12)
-            t[live] += np.minimum(k, np.floor(k * np.minimum(new, 1.0) + self._uniform(seed[live], i)).astype(np.int64))
-            i += step
-            live = live[count[live] > i]
-        return t
-
-    def _seat_root(self, root_t: np.ndarray, seed: np.ndarray) -> None:
-        self.c0 = np.bincount(self.word, self.t, self.n).astype(np.int64)
-        start = np.full(self.n, (STRENGTH[1] + DISCOUNT[1] * max(self.tables[-1], 1)) * self.base)
-        self.t0 = self._seat(self.c0, start, DISCOUNT[1], seed)
-
-    def root(self) -> np.ndarray:
-        """P(word) in the word restaurant."""
-        free = STRENGTH[1] + DISCOUNT[1] * self.tables[-1]
-        return (np.maximum(self.c0 - DISCOUNT[1] * self.t0, 0) + free * self.base) / (STRENGTH[1] + max(self.customers[-1], 0))
-
-    def sweep(self, names: np.ndarray, no: int) -> None:
-        """Reseats every dish of every context given the parent, then the parents."""
-        start = (STRENGTH[0] + DISCOUNT[0] * self.tables[self.ctx]) * self.root()[self.word]
-        salt = splitmix(names ^ np.uint64(no))
-        self.t = self._seat(self.count, start, DISCOUNT[0], splitmix(salt[self.word] + self.ctx.astype(np.uint64)))
-        self._seat_root(self.t0, salt)
-
-    def predictive(self, word: np.ndarray, ctx: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """P(word | context); row is the (word, context) row with counts, -1 if there is none."""
-        c, t = np.where(row >= 0, self.count[row], 0), np.where(row >= 0, self.t[row], 0)
-        free = STRENGTH[0] + DISCOUNT[0] * self.tables[ctx]
-        return (np.maximum(c - DISCOUNT[0] * t, 0) + free * self.root()[word]) / (STRENGTH[0] + self.customers[ctx])
-
-
-def _merge(n_ctx: int):
-    """(word, block, idx, ctx, n), a word's rows together -> a row per word with its counts, or with totals where word is null.
-
-    Seats each word once under rough totals, to have the first totals of the corpus.
-    """
+def _ask_words(buckets: int):
+    def make(row):
+        h, n = unpack_rising(row["vocabulary"]), unpack(row["counts"], np.uint32)
+        cut = _cuts(h, buckets)
+        return [(i, row["block"], pack_rising(h[a:z]), pack(n[a:z])) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+
+    return _each(make)
 
-    def run(batches):
-        total = np.zeros((3, n_ctx + 1), np.int64)
-        types = 0
-        carry: list[pa.RecordBatch] = []
-
-        def emit(table: pa.Table):
-            nonlocal types
-            b = table.combine_chunks().to_batches()[0]
-            words = b.column(0)
-            woff = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
-            raw = b.column(0).to_pylist()
-            change = np.fromiter((x != y for x, y in zip(raw[1:], raw)), np.bool_, len(raw) - 1)
-            first = np.flatnonzero(np.concatenate([[True], change]))
-            word_of = np.cumsum(np.concatenate([[False], change]))
-            del woff
-            k, ctx = _flat(b.column(3), np.uint8)
-            _, n = _flat(b.column(4), "<u4")
-            cell = np.repeat(word_of, k) * n_ctx + ctx
-            cells, at = np.unique(cell, return_inverse=True)
-            count = np.bincount(at, n, len(cells)).astype(np.int64)
-            live = count > 0
-            w, c, count = cells[live] // n_ctx, cells[live] % n_ctx, count[live]
-            n_words = len(first)
-            s = Seating(w, c, count, np.full(n_ctx + 1, 1e6), np.full(n_ctx + 1, 1e7), 1_000_000, n_words)
-            total[0] += np.concatenate([np.bincount(c, s.t, n_ctx), [s.t0.sum()]]).astype(np.int64)
-            total[1] += np.concatenate([np.bincount(c, count, n_ctx), [s.c0.sum()]]).astype(np.int64)
-            total[2, 0] += count.sum()
-            types += int(len(np.unique(w)))
-            ends = np.searchsorted(w, np.arange(n_words + 1))
-            rows = np.append(first, len(raw))
-            blocks, idx = b.column(1).to_numpy(), b.column(2).to_numpy()
-            askers = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(blocks))
-            where = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(idx))
-            asked = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(k.astype(np.int32)))
-            kk = np.concatenate([[0], np.cumsum(k)])[rows]
-            return pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(first)), _binary(ends, c.astype(np.uint8)), _binary(ends * 4, count.astype("<u4")), askers, where, asked, _binary(kk, ctx), pa.nulls(n_words, pa.list_(pa.int64()))],
-                names=["word", "ctx", "n", "blocks", "idx", "asked", "asked_ctx", "totals"],
-            )
-
-        size = 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            carry.append(b)
-            size += b.num_rows
-            if size < 100_000 or b.column(0)[b.num_rows - 1] == carry[0].column(0)[0]:
-                continue
-            table = pa.Table.from_batches(carry)
-            last, at = b.column(0)[b.num_rows - 1], table.num_rows - 1
-            words = table.column(0)
-            while at > 0 and words[at - 1] == last:
-                at -= 1
-            if at:
-                yield emit(table.slice(0, at))
-            carry = table.slice(at).combine_chunks().to_batches()
-            size = sum(x.num_rows for x in carry)
-        if size:
-            yield emit(pa.Table.from_batches(carry))
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.binary()), pa.array([[*total[0].tolist(), *total[1].tolist(), int(total[2, 0]), types]], pa.list_(pa.int64()))],
-            names=["word", "ctx", "n", "blocks", "idx", "asked", "asked_ctx", "totals"],
-        )
 
-    return run
+def _merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hashes that the messages have, their sums, and where each message's are."""
+    hashes, counts = [unpack_rising(r["a"]) for r in rows], [unpack(r["b"], np.uint32) for r in rows]
+    every, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.int64)
+    return every, total, np.split(at, np.cumsum([len(x) for x in hashes])[:-1])
 
 
-_WORDS = "word binary, ctx binary, n binary, blocks array<bigint>, idx array<int>, asked array<int>, asked_ctx binary, totals array<bigint>"
+def _count_words(rows):
+    """src -1: the bucket's words with their counts, x tokens and y words; else where a block's words are among them."""
+    h, n, where = _merged(rows)
+    words = n[h != H_START]
+    out = [(r["dst"], r["src"], pack_rising(at.astype(np.uint32))) for r, at in zip(rows, where)]
+    return [(rows[0]["dst"], -1, pack_rising(h), pack(n), None, None, float(words.sum()), float((words > 0).sum())), *out]
 
 
-def _load(b: pa.RecordBatch, tables, customers, types) -> tuple[Seating, np.ndarray]:
-    k, ctx = _flat(b.column(1), np.uint8)
-    _, n = _flat(b.column(2), "<u4")
-    names = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in b.column(0).to_pylist()), np.uint64, b.num_rows)
-    return Seating(np.repeat(np.arange(b.num_rows), k), ctx.astype(np.int64), n, tables, customers, types, b.num_rows), names
+def _ask_pairs(buckets: int):
+    def make(row):
+        b = Block(row)
+        n, cut = b.training(), _cuts(b.pairs, buckets)
+        return [(i, row["block"], pack_rising(b.pairs[a:z]), pack(n[a:z])) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
 
+    return _each(make)
 
-def _round(tables, customers, types, n_ctx):
-    """A round of sweeps over all words: their totals of tables and customers."""
 
-    def run(batches):
-        t, c = np.zeros(n_ctx + 1, np.int64), np.zeros(n_ctx + 1, np.int64)
-        for b in together(batches, 20_000):
-            s, names = _load(b, tables, customers, types)
-            for no in range(BURN):
-                s.sweep(names, no)
-            t += np.concatenate([np.bincount(s.ctx, s.t, n_ctx), [s.t0.sum()]]).astype(np.int64)
-            c += np.concatenate([np.bincount(s.ctx, s.count, n_ctx), [s.c0.sum()]]).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([[*t.tolist(), *c.tolist()]], pa.list_(pa.int64()))], names=["totals"])
+def _count_pairs(rows):
+    """To each block: the counts of its pairs up to 2, and of those with more than one customer the dish's number and (b) the
+    count where this block is to name its words, else 0. x, y: dishes with one and with two customers, in the first answer."""
+    _, n, where = _merged(rows)
+    number = np.cumsum(n > 1) - 1
+    owned, out = np.zeros(len(n), np.bool_), []
+    for i, (r, at) in enumerate(zip(rows, where)):
+        many = n[at] > 1
+        dish = at[many]
+        own = many[many] & (unpack(r["b"], np.uint32)[many] > 0) & ~owned[dish]
+        owned[dish[own]] = True
+        sums = (float((n == 1).sum()), float((n == 2).sum())) if i == 0 else (0.0, 0.0)
+        out.append((r["src"], r["dst"], pack(np.minimum(n[at], 2).astype(np.uint8)), pack_rising(number[dish].astype(np.uint32)), pack(np.where(own, n[dish], 0)), None, *sums))
+    return out
 
-    return run
 
+def _name_dishes(blocks: list[dict], answers: list[dict]):
+    """A block's answers (ascending buckets) -> to each bucket: dish, context's hash, word's hash, customers."""
+    if not blocks:
+        return []
+    b, at, out = Block(blocks[0]), 0, []
+    for r in answers:
+        n = unpack(r["a"], np.uint8)
+        own = unpack(r["c"], np.int64)
+        mine = np.flatnonzero(n == 2)[own > 0] + at
+        if len(mine):
+            out.append((r["src"], r["dst"], pack(unpack_rising(r["b"], np.uint32)[own > 0]), pack(b.vocabulary[b.context[mine]]), pack(b.vocabulary[b.word[mine]]), pack(own[own > 0])))
+        at += len(n)
+    return out
 
-def _answers(tables, customers, types, n_ctx):
-    """Words to (block, idx, count, log10 P in each context asked for), probabilities averaged over the sweeps after burn-in."""
 
-    def run(batches):
-        for whole in together(batches, 20_000):
-            for a in range(0, whole.num_rows, 20_000):
-                b = whole.slice(a, 20_000)
-                s, names = _load(b, tables, customers, types)
-                rows_of = np.fromiter(map(len, b.column(4)), np.int64, b.num_rows)
-                asked = b.column(5).flatten().to_numpy().astype(np.int64)
-                _, ctx = _flat(b.column(6), np.uint8)
-                ctx = ctx.astype(np.int64)
-                word = np.repeat(np.repeat(np.arange(b.num_rows), rows_of), asked)
-                cell = s.word * n_ctx + s.ctx
-                want = word * n_ctx + ctx
-                if len(cell):
-                    at = np.minimum(np.searchsorted(cell, want), len(cell) - 1)
-                    at = np.where(cell[at] == want, at, -1)
-                else:
-                    at = np.full(len(want), -1)
-                    s.count = s.t = np.zeros(1, np.int64)
-                    s.word, s.ctx = np.zeros(1, np.int64), np.zeros(1, np.int64)
-                p = np.zeros(len(word))
-                for no in range(BURN + KEEP):
-                    s.sweep(names, no)
-                    if no >= BURN:
-                        p += s.predictive(word, ctx, at)
-                p = np.log10(p / KEEP).astype("<f4")
-                total = np.bincount(s.word, s.count, b.num_rows).astype(np.int64)
-                off = np.concatenate([[0], np.cumsum(asked)])
-                n_rows = len(asked)
-                count = np.repeat(total, rows_of)
-                blocks, idx = b.column(3).flatten(), b.column(4).flatten()
-                for y in range(0, n_rows, 50_000):
-                    z = min(n_rows, y + 50_000)
-                    part = slice(off[y], off[z])
-                    yield pa.RecordBatch.from_arrays([blocks.slice(y, z - y), idx.slice(y, z - y), pa.array(count[y:z]), _binary(off[y : z + 1] - off[y], ctx[part].astype(np.uint8)), _binary(4 * (off[y : z + 1] - off[y]), p[part])], names=["block", "idx", "n", "ctx", "p"])
+def _gather_dishes(rows):
+    """A bucket's dishes in their order: words that they have, each dish's context and word among them, customers."""
+    dish, context, word, n = (np.concatenate([unpack(r[k], t) for r in rows]) for k, t in zip("abcd", (np.uint32, np.uint64, np.uint64, np.int64)))
+    order = np.argsort(dish)
+    words, at = np.unique(np.concatenate([context[order], word[order]]), return_inverse=True)
+    at = at.astype(np.uint32)
+    return [(rows[0]["dst"], 0, pack_rising(words), pack(at[: len(dish)]), pack(at[len(dish) :]), pack(n[order]))]
 
-    return run
+
+# Rounds: buckets of pairs and buckets of words in turn.
+
+
+def _tell(row: dict, tables: np.ndarray, buckets: int) -> list[tuple]:
+    """To each bucket of words: its words here; tables less customers as context, and as dish."""
+    words, context, word, n = unpack_rising(row["a"]), unpack(row["b"], np.uint32), unpack(row["c"], np.uint32), unpack(row["d"], np.int64)
+    less = [np.bincount(x, n - tables, len(words)).astype(np.int64) for x in (context, word)]
+    cut = _cuts(words, buckets)
+    return [(i, row["dst"], pack_rising(words[a:z]), *(pack(x[a:z]) for x in less)) for i, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+
+
+def _first(buckets: int):
+    """Every dish at one table."""
+    return _each(lambda row: _tell(row, np.ones(len(unpack(row["d"], np.int64)), np.int64), buckets))
+
+
+def _seat_words(d: float | None, weight: float, salt: int):
+    """A bucket's words and what buckets of pairs tell -> src -1: tables as context, customers and tables in the word restaurant
+    (x, y: their sums); to each bucket of pairs: tables as context and customers less discounts, of its words."""
+
+    def make(words, told):
+        h, n = unpack_rising(words[0]["a"]), unpack(words[0]["b"], np.int64)
+        as_context, as_dish, where = n * (h != H_END), n * (h != H_START), []
+        for r in told:
+            at = np.searchsorted(h, unpack_rising(r["a"]))
+            where.append(at)
+            as_context[at] -= unpack(r["b"], np.int64)
+            as_dish[at] -= unpack(r["c"], np.int64)
+        if d is None:
+            return [(words[0]["dst"], -1, None, None, None, None, float((as_dish == 1).sum()), float((as_dish == 2).sum()))]
+        t = Tables(d).draw(as_dish, np.full(len(h), weight), h, salt)
+        out = [(words[0]["dst"], -1, pack(as_context), pack(as_dish), pack(t), None, float(as_dish.sum()), float(t.sum()))]
+        left = (as_dish - d * t).astype(np.float32)
+        return out + [(r["src"], words[0]["dst"], pack(as_context[at]), pack(left[at])) for r, at in zip(told, where)]
+
+    return _per_bucket(make)
+
+
+def _seat_pairs(d: float, d0: float, customers: float, tables: float, types: int, salt: int, buckets: int):
+    """A bucket's dishes and the answers of buckets of words -> src -1: each dish's tables; and what it tells them next."""
+
+    def make(dishes, answers):
+        row = dishes[0]
+        context, word, n = (unpack(row[k], t) for k, t in zip("bcd", (np.uint32, np.uint32, np.int64)))
+        total, left = np.concatenate([unpack(r["a"], np.int64) for r in answers]), np.concatenate([unpack(r["b"], np.float32) for r in answers])
+        p = (left + (STRENGTH[1] + d0 * tables) / (types + 1)) / (STRENGTH[1] + customers)
+        names = splitmix(np.arange(len(n), dtype=np.uint64) + (np.uint64(row["dst"]) << np.uint64(40)))
+        t = Tables(d).draw(n, ((STRENGTH[0] + d * total.astype(float))[context] * p[word]), names, salt)
+        return [(row["dst"], -1, pack(t)), *_tell(row, t, buckets)]
+
+    return _per_bucket(make)
+
+
+# Scores.
+
+
+def _answer_pairs(d: float):
+    """To each block: of its pairs, customers less the discounts of the mean tables; src is the bucket."""
+
+    def make(asked, states):
+        tables = sum(unpack(r["a"], np.int64).astype(float) for r in states) / max(1, len(states)) if states else np.zeros(0)
+        n = np.zeros(len(tables))
+        for r in asked:
+            dish, own = unpack_rising(r["b"], np.uint32), unpack(r["c"], np.int64)
+            n[dish[own > 0]] = own[own > 0]
+        left = (n - d * tables).astype(np.float32)
+        return [(r["src"], 2 * r["dst"], r["a"], pack(left[unpack_rising(r["b"], np.uint32)])) for r in asked]
+
+    return _per_bucket(make)
 
 
-def _score(hubs: list[bytes], n: int, v: int):
-    """A block and its words' answers: a row per document."""
+def _answer_words(d0: float, sums: list[tuple[float, float]], types: int):
+    """To each block: of its words, counts, and for each kept round tables as context and P(word)."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+    def make(asked, states):
+        n = next(unpack(r["b"], np.int64) for r in asked if r["src"] < 0)
+        rounds = []
+        for r in states:
+            c, t = unpack(r["b"], np.int64), unpack(r["c"], np.int64)
+            customers, tables = sums[int(r["x"])]
+            rounds.append((unpack(r["a"], np.int64), ((c - d0 * t + (STRENGTH[1] + d0 * tables) / (types + 1)) / (STRENGTH[1] + customers)).astype(np.float32)))
         out = []
-        n_ctx = len(hubs) + 1
-        right = right.combine_chunks()
-        idx = right["idx"].to_numpy()
-        flat = [_flat(c, np.uint8) for c in right["ctx"].chunks]
-        k = np.concatenate([x[0] for x in flat]) if flat else np.zeros(0, np.int32)
-        ctx = np.concatenate([x[1] for x in flat]).astype(np.int64) if flat else np.zeros(0, np.int64)
-        p = np.concatenate([_flat(c, "<f4")[1] for c in right["p"].chunks]) if flat else np.zeros(0, np.float32)
-        cell = np.repeat(idx.astype(np.int64), k) * n_ctx + ctx
-        order = np.argsort(cell)
-        cell, p = cell[order], p[order].astype(np.float64)
-        n_of = right["n"].to_numpy()
-        del right, flat, ctx, order
-        for row in left.to_pylist():
-            words = zstandard.ZstdDecompressor().decompress(row["words"]).split(b"\n")
-            count = np.zeros(len(words), np.int64)
-            count[idx] = n_of
-            tokens, sizes = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["sizes"], np.int64)
-            want = tokens * n_ctx + contexts(tokens, sizes, _hub_table(words, hubs))
-            at = np.searchsorted(cell, want)
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            base = np.log10((count + 1.0) / (n + 1 * (v + 1)))
-            sums = lambda x: np.bincount(doc, x, len(sizes))  # noqa: B023, E731
-            keys = pa.array(_unpack(row["keys"], np.int64), mask=_unpack(row["nulls"], np.bool_))
-            cols = [keys, pa.array(_unpack(row["held"], np.bool_)), pa.array(sizes), pa.array(sums(count[tokens] > 0).astype(np.int64)), pa.array(sums(base[tokens])), pa.array(sums(p[at]))]
-            out.append(pa.Table.from_arrays(cols, names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"]))
+        for r in asked:
+            if r["src"] >= 0:
+                at = unpack_rising(r["a"], np.uint32)
+                out.append((r["src"], 2 * r["dst"] + 1, pack(n[at]), pack(np.concatenate([c[at] for c, _ in rounds])), pack(np.concatenate([p[at] for _, p in rounds]))))
+        return out
+
+    return _per_bucket(make)
+
+
+def _score(d: float, n: int, v: int):
+    """A block and its answers: a row per document."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        let_go()
+        answers = right.sort_by([("src", "ascending")]).to_pylist()
+        del right
+        rows = left.to_pylist()
+        if not rows:
+            return pa.table({"key": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        row = rows[0]
+        b = Block(row)
+        some, sure = [], []
+        for r in answers:
+            if r["src"] % 2:
+                some.append((unpack(r["a"], np.int64), unpack(r["b"], np.int64).reshape(KEEP, -1), unpack(r["c"], np.float32).reshape(KEEP, -1)))
+            else:
+                code = unpack(r["a"], np.uint8)
+                x = np.where(code == 1, 1 - d, 0.0)
+                x[code == 2] = unpack(r["b"], np.float32)
+                sure.append(x)
+        count, tables, p0 = (np.concatenate([x[i] for x in some], axis=-1) for i in range(3))
+        heads = np.where(b.vocabulary == H_END, 0, count)[b.context] + STRENGTH[0]
+        p = np.concatenate(sure)
+        for k in range(KEEP):
+            p += (STRENGTH[0] + d * tables[k, b.context]) * p0[k, b.word] / KEEP
+        p = np.log10(p / heads)
+        doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
+        sums = lambda x: np.bincount(doc, x, len(b.sizes))
+        base = np.log10((count + 1.0) / (n + 1 * (v + 1)))
+        keys = pa.array(unpack(row["keys"], np.int64), mask=unpack(row["nulls"], np.bool_))
+        out = [keys, pa.array(b.held), pa.array(b.sizes), pa.array(sums(count[b.tokens] > 0).astype(np.int64)), pa.array(sums(base[b.tokens])), pa.array(sums(p[b.at]))]
         release()
-        return pa.concat_tables(out)
+        return pa.Table.from_arrays(out, names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, *, key: str = "doc_id", mod: int = 7, held: int = 2, hubs: int = HUBS, rounds: int = 1) -> DataFrame:
+def score(docs: DataFrame, *, key: str = "doc_id", mod: int = 7, held: int = 2, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Learns from rows whose crc32 of the key's text, modulo `mod`, is not `held`. Null texts are empty: one end token. A
-    null key hashes as empty text. Repeated rows each count and come back; an empty table gives no rows.
+    null key hashes as empty text. Repeated rows each count and come back, as do rows of one id with different texts; an
+    empty table gives no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 4000)
+    spark = docs.sparkSession
+    small_batches(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = spark.conf.get(setting)
     blocks = written(docs.select(F.col(key).cast("long").alias("key"), "text").mapInArrow(tidy(_blocks(mod, held)), _BLOCK), "lm-blocks")
-    tops = blocks.select(F.explode(F.arrays_zip("top", "top_n")).alias("x")).select("x.top", "x.top_n").where(F.octet_length("top") > 0)
-    hub = [bytes(r["top"]) for r in tops.groupBy("top").agg(F.sum("top_n").alias("n")).orderBy(F.desc("n"), "top").limit(hubs).collect()]
-    n_ctx = len(hub) + 1
-    asked = blocks.select("block", "sizes", "held", "tokens", "words").mapInArrow(tidy(_asked(hub)), "word binary, block bigint, idx int, ctx binary, n binary")
-    words = written(asked.repartition("word").sortWithinPartitions("word", "block").mapInArrow(tidy(_merge(n_ctx)), _WORDS), "lm-words")
-
-    def gathered(rows: DataFrame) -> list[int]:
-        got = rows.select(F.posexplode("totals").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        return [r["x"] for r in sorted(got, key=lambda r: r["i"])]
-
-    first = gathered(words.where("word is null")) or [0] * (2 * n_ctx + 4)
-    tables, customers, n, v = np.array(first[: n_ctx + 1], float), np.array(first[n_ctx + 1 : 2 * n_ctx + 2], float), first[-2], first[-1]
-    rows = words.where("word is not null").drop("totals")
-    for _ in range(rounds):
-        got = gathered(rows.mapInArrow(tidy(_round(tables, customers, v, n_ctx)), "totals array<bigint>"))
-        if got:
-            tables, customers = np.array(got[: n_ctx + 1], float), np.array(got[n_ctx + 1 :], float)
-    answers = rows.mapInArrow(tidy(_answers(tables, customers, v, n_ctx)), "block bigint, idx int, n bigint, ctx binary, p binary")
-    keep = blocks.select("block", "keys", "nulls", "sizes", "held", "tokens", "words")
-    out = keep.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(hub, n, v), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    tokens = blocks.agg(F.sum("n")).head()[0] or 0
+    buckets = max(1, -(-tokens // bucket_tokens))
+    try:
+        spark.conf.set(setting, PACKED_ROWS)
+        scored = _scored(blocks, buckets)
+    finally:
+        spark.conf.set(setting, rows)
+    return scored.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
+def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
+    per = lambda df, f: df.groupBy("dst").applyInArrow(_per_bucket(f), _MESSAGE)
+    both = lambda a, b, f: a.groupBy("dst").cogroup(b.groupBy("dst")).applyInArrow(f, _MESSAGE)
+
+    words = written(per(blocks.select("block", "vocabulary", "counts").mapInArrow(_ask_words(buckets), _MESSAGE), _count_words), "lm-words")
+    table = words.where("src < 0")
+    n, v = (int(x or 0) for x in table.agg(F.sum("x"), F.sum("y")).head())
+    whole = blocks.select("block", "sizes", "held", "tokens", "vocabulary")
+    pairs = written(per(whole.mapInArrow(_ask_pairs(buckets), _MESSAGE), _count_pairs), "lm-pairs")
+    forget(blocks.sparkSession)
+    d = discount(*(x or 0.0 for x in pairs.agg(F.sum("x"), F.sum("y")).head()))
+    named = whole.withColumnsRenamed({"block": "dst"}).withColumn("src", F.lit(0)).groupBy("dst").cogroup(pairs.groupBy("dst")).applyInArrow(_per_bucket(_name_dishes), _MESSAGE)
+    dishes = written(per(named, _gather_dishes), "lm-dishes")
+    forget(blocks.sparkSession)
+
+    told = dishes.mapInArrow(_first(buckets), _MESSAGE)
+    d0 = discount(*(x or 0.0 for x in both(table, told, _seat_words(None, 0.0, 0)).agg(F.sum("x"), F.sum("y")).head()))
+    tables, kept, sums, state = float(v), [], [], None
+    for i in range(BURN + KEEP + 1):
+        weight = (STRENGTH[1] + d0 * tables) / (v + 1)
+        seated = written(both(table, told, _seat_words(d0, weight, 2 * i)), "lm-seats")
+        customers, tables = (float(x or 0) for x in seated.where("src < 0").agg(F.sum("x"), F.sum("y")).head())
+        if i > BURN:
+            kept.append((seated, state))
+            sums.append((customers, tables))
+        if i < BURN + KEEP:
+            state = written(both(dishes, seated.where("src >= 0"), _seat_pairs(d, d0, customers, tables, v, 2 * i + 1, buckets)), "lm-tables")
+            told = state.where("src >= 0")
+        forget(blocks.sparkSession)
+
+    named_by = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "a", "b", "c", "d", "x", "y")
+    states = kept[0][1].where("src < 0")
+    seats = kept[0][0].where("src < 0").withColumn("x", F.lit(0.0))
+    for i, (seated, state) in enumerate(kept[1:], 1):
+        states = states.unionByName(state.where("src < 0"))
+        seats = seats.unionByName(seated.where("src < 0").withColumn("x", F.lit(float(i))))
+    seats = seats.withColumn("src", F.col("x").cast("long"))
+    # Answers of pairs name themselves 2 * bucket, of words 2 * bucket + 1; a block reads each in the order of buckets.
+    answers = both(named_by, states, _answer_pairs(d)).unionByName(both(words, seats, _answer_words(d0, sums, v)))
+    answers = written(answers, "lm-answers")
+    forget(blocks.sparkSession)
+    rows = blocks.select(F.col("block").alias("dst"), "keys", "nulls", "sizes", "held", "tokens", "vocabulary")
+    out = rows.groupBy("dst").cogroup(answers.groupBy("dst")).applyInArrow(_score(d, n, v), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
