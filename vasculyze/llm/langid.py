@@ -152,43 +152,50 @@ class Model:
     def _parse(self, k: int, own: np.ndarray, start: np.ndarray, size: np.ndarray, part: np.ndarray, state: int) -> tuple[np.ndarray, int]:
         """Phrases that begin in each segment; the segments of a text follow each other. state: what the segment before the first leaves."""
         t, width, n = self.tables[k], self.widths[k], len(start)
-        # Segments in the order of their sizes, so that those still going on stand in front.
+        # Segments in the order of their sizes, so that those still going on stand in front; their symbols as columns.
         order = np.argsort(-size, kind="stable")
         going = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")
+        grid = own[np.minimum(start[order] + np.arange(SEGMENT)[:, None], len(own) - 1)] if n else np.zeros((SEGMENT, 0), np.uint8)
         begins = np.zeros((SEGMENT, n), np.bool_)
-        ends = np.zeros(n, np.int32)
-        at = start[order]
+        ends, row = np.zeros(n, np.int32), np.empty(n, np.int32)
         for j in range(SEGMENT):
             m = going[j]
             if not m:
                 break
-            x = t[ends[:m] * width + own[at[:m] + j]]
-            begins[j, :m] = x >> 15
-            ends[:m] = x & (MISS - 1)
+            at = np.multiply(ends[:m], width, out=row[:m])
+            at += grid[j, :m]
+            x = t.take(at)
+            np.greater_equal(x, MISS, out=begins[j, :m])
+            np.bitwise_and(x, MISS - 1, out=ends[:m], casting="unsafe")
         column = np.empty(n, np.int64)
         column[order] = np.arange(n)
         leaves, thought = ends[column], ends[column]
-        phrases = begins.sum(0, dtype=np.int64)[column]
         upto = np.cumsum(begins, axis=0, dtype=np.int16)
+        total = upto[-1] if n else np.zeros(0, np.int16)
+        phrases = total[column].astype(np.int64)
         todo, rest, rounds = np.flatnonzero(part > 0), np.zeros(0, np.int64), 0
         while len(todo):
             before = np.where(todo > 0, leaves[todo - 1], state)
-            now, count, live = before.copy(), np.zeros(len(todo), np.int64), np.arange(len(todo))
-            for j in range(SEGMENT):
-                live = live[size[todo[live]] > j]
-                if not len(live):
-                    break
-                seg = todo[live]
-                x = t[now[live] * width + own[start[seg] + j]]
-                new = (x >> 15).astype(np.bool_)
-                same = new & begins[j, column[seg]]
-                met, on = live[same], live[~same]
-                col = column[todo[met]]
-                count[met] += upto[-1, col] - upto[j, col] + 1
-                now[met] = thought[todo[met]]
-                count[on] += new[~same]
-                now[on] = x[~same] & (MISS - 1)
-                live = on
+            now, count = before.astype(np.int32), np.zeros(len(todo), np.int64)
+            # Of those still apart: number in todo, length, column, state, phrases so far.
+            live, ends_at = np.arange(len(todo)), size[todo]
+            col, at, some = column[todo], now.copy(), np.zeros(len(todo), np.int32)
+            for j in range(int(ends_at.max())):
+                x = t.take(at * width + grid[j].take(col))
+                new = x >= MISS
+                same = new & begins[j].take(col)
+                some += new
+                at = (x & (MISS - 1)).astype(np.int32)
+                if (out := same | (ends_at <= j + 1)).any():
+                    met, over = np.flatnonzero(same), np.flatnonzero(out & ~same)
+                    count[live[met]] = some[met] + total[col[met]] - upto[j, col[met]]
+                    now[live[met]] = thought[todo[live[met]]]
+                    count[live[over]] = some[over]
+                    now[live[over]] = at[over]
+                    left = np.flatnonzero(~out)
+                    live, ends_at, col, at, some = live[left], ends_at[left], col[left], at[left], some[left]
+                    if not len(live):
+                        break
             phrases[todo] = count
             # Where the parses never met, the next segment starts from another state than thought.
             changed = todo[leaves[todo] != now]
