@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, let_go, release, small_batches, splitmix, tidy, written
+from .common import drop, forget, let_go, release, small_batches, splitmix, tidy, written
 
 #: Characters of a block, training tokens that a bucket stands for, rows of an Arrow batch of packed arrays.
 BLOCK_CHARS, BUCKET_TOKENS, PACKED_ROWS = 12_000_000, 2_500_000, 32
@@ -494,10 +494,13 @@ def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
         if i > BURN:
             kept.append((seated, state))
             sums.append((customers, tables))
+        elif state is not None:
+            drop(state)
         if i < BURN + KEEP:
             state = written(both(dishes, seated.where("src >= 0"), _seat_pairs(d, d0, customers, tables, v, 2 * i + 1, buckets)), "lm-tables")
             told = state.where("src >= 0")
-        forget(blocks.sparkSession)
+        if i <= BURN:
+            drop(seated)
 
     named_by = pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "a", "b", "c", "d", "x", "y")
     states = kept[0][1].where("src < 0")
@@ -509,7 +512,7 @@ def _scored(blocks: DataFrame, buckets: int) -> DataFrame:
     # Answers of pairs name themselves 2 * bucket, of words 2 * bucket + 1; a block reads each in the order of buckets.
     answers = both(named_by, states, _answer_pairs(d)).unionByName(both(words, seats, _answer_words(d0, sums, v)))
     answers = written(answers, "lm-answers")
-    forget(blocks.sparkSession)
+    drop(words, pairs, dishes, *itertools.chain(*kept))
     rows = blocks.select(F.col("block").alias("dst"), "keys", "nulls", "sizes", "held", "tokens", "vocabulary")
     out = rows.groupBy("dst").cogroup(answers.groupBy("dst")).applyInArrow(_score(d, n, v), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
