@@ -20,12 +20,9 @@ def _effects(keys: str, source: str) -> str:
     FROM (SELECT {_SIZES} FROM (SELECT {keys}, {_EFFECT} FROM {source} GROUP BY {keys}) g) h"""
 
 
-_WIDE = """SELECT subject_id, feature, max(diagnosis) AS diagnosis, max(CASE WHEN layer = 'SVC' THEN v END) AS svc, max(CASE WHEN layer = 'DVC' THEN v END) AS dvc,
+_WIDE = """SELECT subject_id, feature, CASE count(DISTINCT CASE WHEN diagnosis <> 'unknown' THEN diagnosis END) WHEN 1 THEN max(CASE WHEN diagnosis <> 'unknown' THEN diagnosis END) WHEN 0 THEN 'unknown' ELSE 'conflict' END AS diagnosis, max(CASE WHEN layer = 'SVC' THEN v END) AS svc, max(CASE WHEN layer = 'DVC' THEN v END) AS dvc,
     max(CASE WHEN layer = 'SVC+DVC' THEN v END) AS joined, round(avg(v), 6) AS mean_v, min(v) AS min_v, max(v) AS max_v, count(v) AS n, stddev_samp(v) AS sd FROM {long} GROUP BY subject_id, feature"""
-_CONTRASTS = f"""SELECT subject_id, diagnosis, feature, dvc - svc AS dvc_minus_svc, joined - svc AS joined_minus_svc, (svc + dvc) - joined AS sum_minus_joined,
-    dvc / (svc + 1E-8) AS dvc_over_svc, CASE WHEN dvc + 1E-8 > 0 AND svc + 1E-8 > 0 THEN ln((dvc + 1E-8) / (svc + 1E-8)) END AS log_dvc_svc FROM ({_WIDE}) w"""
-_P = """SELECT layer, feature, subject_id, v, median(v) OVER (PARTITION BY layer, feature) AS m FROM {long}"""
-_Z = f"""SELECT layer, feature, subject_id, (v - m) / CASE WHEN mad > 0 THEN 1.4826E0 * mad ELSE 1E0 END AS z FROM (SELECT *, median(abs(v - m)) OVER (PARTITION BY layer, feature) AS mad FROM ({_P}) p) q"""
+_CONTRASTS = f"""SELECT subject_id, diagnosis, feature, dvc - svc AS dvc_minus_svc FROM ({_WIDE}) w"""
 _RANKS = """SELECT layer, feature, diagnosis, v, rank() OVER (PARTITION BY layer, feature ORDER BY v) + (count(*) OVER (PARTITION BY layer, feature, v) - 1) / 2E0 AS r FROM {long} WHERE diagnosis <> 'unknown' AND v IS NOT NULL"""
 _TRUE = "SELECT image_id, r, c, x > 0 AS t, x > 0.05E0 AS p, r BETWEEN 1 AND 6 AS f FROM {pixels}"
 _CELLS = """count(CASE WHEN t AND p THEN 1 END) AS tp, count(CASE WHEN NOT t AND p THEN 1 END) AS fp, count(CASE WHEN t AND NOT p THEN 1 END) AS fn, count(CASE WHEN NOT t AND NOT p THEN 1 END) AS tn"""
@@ -43,14 +40,13 @@ SHARED: dict[str, str] = {
     "layer_effects": _effects("layer, feature", "{long}"),
     "subject_effects": _effects("feature", f"(SELECT feature, diagnosis, mean_v AS v FROM ({_WIDE}) w)"),
     "contrast_effects": _effects("feature", f"(SELECT feature, diagnosis, round(dvc_minus_svc, 9) AS v FROM ({_CONTRASTS}) c)"),
-    "subject_aggregate": f"SELECT subject_id, feature, diagnosis, mean_v, min_v, max_v, max_v - min_v AS range_v, CASE WHEN n <= 1 THEN 0E0 ELSE round(sd, 6) END AS std_v, svc, dvc, joined FROM ({_WIDE}) w",
-    "layer_contrasts": f"SELECT subject_id, diagnosis, feature, dvc_minus_svc, joined_minus_svc, sum_minus_joined, dvc_over_svc, round(log_dvc_svc, 9) AS log_dvc_svc FROM ({_CONTRASTS}) c",
     "table_summary": "SELECT feature, count(DISTINCT subject_id) AS n_subjects, count(*) AS n_rows, round(avg(CASE WHEN v IS NULL THEN 1E0 ELSE 0E0 END), 6) AS missing, round(var_samp(v), 4) AS variance FROM {long} GROUP BY feature",
     "missingness": "SELECT layer, count(*) AS n, count(CASE WHEN raw_diagnosis IS NULL THEN 1 END) AS no_diagnosis, round(avg(CASE WHEN raw_diagnosis IS NULL THEN 1E0 ELSE 0E0 END), 6) AS share FROM {cohort} GROUP BY layer",
     "value_counts": "SELECT raw_diagnosis, diagnosis, count(*) AS n FROM {cohort} GROUP BY raw_diagnosis, diagnosis",
     "layer_by_diagnosis_pivot": "SELECT layer, count(CASE WHEN diagnosis = 'AD' THEN 1 END) AS ad, count(CASE WHEN diagnosis = 'control' THEN 1 END) AS control, count(CASE WHEN diagnosis = 'unknown' THEN 1 END) AS unknown FROM {cohort} GROUP BY layer",
-    "crosstab_chi2": """SELECT round(sum((o - e) * (o - e) / e), 6) AS chi2, min(round(e, 6)) AS min_expected, (count(DISTINCT layer) - 1) * (count(DISTINCT diagnosis) - 1) AS dof FROM (
-        SELECT layer, diagnosis, o, 1E0 * sum(o) OVER (PARTITION BY layer) * sum(o) OVER (PARTITION BY diagnosis) / sum(o) OVER () AS e FROM (SELECT layer, diagnosis, count(*) AS o FROM {cohort} WHERE diagnosis <> 'unknown' GROUP BY layer, diagnosis) t) u""",
+    "crosstab_chi2": """SELECT round(sum(g * g / e), 6) AS chi2, min(round(e, 6)) AS min_expected, max(dof) AS dof FROM (SELECT e, dof, CASE WHEN dof = 1 THEN greatest(abs(o - e) - 0.5E0, 0E0) ELSE abs(o - e) END AS g FROM (
+        SELECT coalesce(o, 0) AS o, 1E0 * nl * nd / n AS e, (levels - 1) * (groups_ - 1) AS dof FROM (SELECT layer, count(*) AS nl FROM {cohort} WHERE diagnosis <> 'unknown' GROUP BY layer) l CROSS JOIN (SELECT diagnosis, count(*) AS nd FROM {cohort} WHERE diagnosis <> 'unknown' GROUP BY diagnosis) d
+        CROSS JOIN (SELECT count(*) AS n, count(DISTINCT layer) AS levels, count(DISTINCT diagnosis) AS groups_ FROM {cohort} WHERE diagnosis <> 'unknown') t LEFT JOIN (SELECT layer AS layer_, diagnosis AS diagnosis_, count(*) AS o FROM {cohort} WHERE diagnosis <> 'unknown' GROUP BY layer, diagnosis) c ON layer = layer_ AND diagnosis = diagnosis_) u) v""",
     "layer_availability": """SELECT subject_id, count(DISTINCT layer) AS n_layers, concat_ws('+', max(CASE WHEN layer = 'DVC' THEN layer END), max(CASE WHEN layer = 'SVC' THEN layer END), max(CASE WHEN layer = 'SVC+DVC' THEN layer END)) AS layers,
         concat_ws(',', CASE WHEN count(CASE WHEN layer = 'SVC' THEN 1 END) = 0 THEN 'SVC' END, CASE WHEN count(CASE WHEN layer = 'DVC' THEN 1 END) = 0 THEN 'DVC' END, CASE WHEN count(CASE WHEN layer = 'SVC+DVC' THEN 1 END) = 0 THEN 'SVC+DVC' END) AS missing_layers FROM {cohort} GROUP BY subject_id""",
     "first_per_subject_layer": "SELECT o_custkey AS subject, o_orderstatus AS layer, o_orderkey AS image, n AS source_row_count FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS rn, count(*) OVER (PARTITION BY o_custkey, o_orderstatus) AS n FROM {orders}) t WHERE rn = 1",
@@ -59,22 +55,15 @@ SHARED: dict[str, str] = {
     "leakage_intersect": "SELECT DISTINCT o_custkey AS subject FROM {orders} WHERE o_orderkey % 5 = 0 AND o_custkey IS NOT NULL INTERSECT SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderkey % 5 <> 0",
     "anti_exclude": "SELECT subject_id, layer, diagnosis FROM {cohort} a WHERE NOT EXISTS (SELECT 1 FROM {cohort} b WHERE b.subject_id = a.subject_id AND b.quantity > 27)",
     "semi_groups": "SELECT subject_id, layer, diagnosis FROM {cohort} a WHERE EXISTS (SELECT 1 FROM {cohort} b WHERE b.subject_id = a.subject_id AND b.quantity > 27)",
-    "combine_predictions": "SELECT c.c_custkey AS image, c.c_mktsegment AS own, coalesce(p.pred, c.c_mktsegment) AS prediction FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS pred FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey) p ON c.c_custkey = p.o_custkey",
+    "combine_predictions": "SELECT c.c_custkey AS image, c.c_mktsegment AS own, coalesce(c.c_mktsegment, p.pred) AS prediction FROM {customer} c LEFT JOIN (SELECT o_custkey, min(o_orderpriority) AS pred FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey) p ON c.c_custkey = p.o_custkey",
     "fdr_bh": f"SELECT feature, layer, p, least(1E0, min(p * n / r) OVER (ORDER BY p DESC, feature DESC, layer DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS fdr FROM (SELECT *, row_number() OVER (ORDER BY p, feature, layer) AS r, count(*) OVER () AS n FROM ({_PV}) v) w",
-    "rank_pct": "SELECT subject_id, layer, feature, CAST((rank() OVER (PARTITION BY layer, feature ORDER BY v) + (count(*) OVER (PARTITION BY layer, feature, v) - 1) / 2E0) / count(*) OVER (PARTITION BY layer, feature) AS DOUBLE) AS pct FROM {long}",
+    "rank_pct": "SELECT subject_id, layer, feature, CASE WHEN v IS NULL THEN 0E0 ELSE CAST((rank() OVER (PARTITION BY layer, feature, v IS NULL ORDER BY v) + (count(*) OVER (PARTITION BY layer, feature, v) - 1) / 2E0) / count(v) OVER (PARTITION BY layer, feature) AS DOUBLE) END AS pct FROM {long}",
     "mannwhitney_u": f"SELECT layer, feature, n1, n2, r1 - n1 * (n1 + 1) / 2E0 AS u, round(2 * (r1 - n1 * (n1 + 1) / 2E0) / n1 / n2 - 1, 9) AS rank_biserial FROM (SELECT layer, feature, sum(CASE WHEN diagnosis = 'AD' THEN r END) AS r1, count(CASE WHEN diagnosis = 'AD' THEN 1 END) AS n1, count(CASE WHEN diagnosis = 'control' THEN 1 END) AS n2 FROM ({_RANKS}) k GROUP BY layer, feature) s",
     "ks_statistic": """SELECT layer, feature, round(max(abs(fa / na - fc / nc)), 9) AS ks FROM (SELECT layer, feature, 1E0 * count(CASE WHEN diagnosis = 'AD' THEN 1 END) OVER w AS fa, 1E0 * count(CASE WHEN diagnosis = 'control' THEN 1 END) OVER w AS fc,
         count(CASE WHEN diagnosis = 'AD' THEN 1 END) OVER (PARTITION BY layer, feature) AS na, count(CASE WHEN diagnosis = 'control' THEN 1 END) OVER (PARTITION BY layer, feature) AS nc
         FROM {long} WHERE diagnosis <> 'unknown' WINDOW w AS (PARTITION BY layer, feature ORDER BY v)) t GROUP BY layer, feature""",
     "permutation_md5": """SELECT b, CAST(sum(CASE WHEN k <= n1 THEN cents END) AS BIGINT) AS sum_a, CAST(sum(cents) AS BIGINT) AS total FROM (SELECT b, cents, n1, row_number() OVER (PARTITION BY b ORDER BY md5(concat(subject_id, '|', CAST(b AS STRING))), subject_id) AS k FROM (
         SELECT subject_id, CAST(round(price * 100) AS BIGINT) AS cents, count(CASE WHEN diagnosis = 'AD' THEN 1 END) OVER () AS n1 FROM {cohort} WHERE layer = 'SVC' AND diagnosis <> 'unknown') s CROSS JOIN (SELECT 0 AS b UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7) d) t GROUP BY b""",
-    "robust_z": f"SELECT layer, feature, subject_id, round(z, 6) AS z FROM ({_Z}) z",
-    "robust_distance": f"SELECT layer, subject_id, round(sqrt(sum(z * z)) / sqrt(count(*)), 6) AS distance, round(max(abs(z)), 6) AS max_z, round(avg(abs(z)), 6) AS mean_z, count(CASE WHEN abs(z) > 3 THEN 1 END) AS n_extreme FROM ({_Z}) z GROUP BY layer, subject_id",
-    "top_extreme_features": f"SELECT layer, subject_id, feature, round(z, 2) AS z, CAST(rn AS BIGINT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY layer, subject_id ORDER BY round(abs(z), 6) DESC, feature) AS rn FROM ({_Z}) z) t WHERE rn <= 2",
-    "outlier_flags": f"SELECT layer, subject_id, max(abs(z)) > 3 AS is_outlier FROM ({_Z}) z GROUP BY layer, subject_id",
-    "outlier_sensitivity": """SELECT layer, feature, round(f, 6) AS full_effect, round(w, 6) AS filtered, round(w - f, 6) AS delta, CASE WHEN f IS NULL OR w IS NULL THEN 'too_few_samples' WHEN (f <> 0 AND sign(f) <> sign(w)) OR abs(w - f) > 0.5E0 * greatest(abs(f), 1E-12) THEN 'outlier_sensitive' ELSE 'stable' END AS flag FROM (
-        SELECT layer, feature, median(CASE WHEN diagnosis = 'AD' THEN v END) - median(CASE WHEN diagnosis = 'control' THEN v END) AS f, median(CASE WHEN diagnosis = 'AD' AND v < m * 2 THEN v END) - median(CASE WHEN diagnosis = 'control' AND v < m * 2 THEN v END) AS w
-        FROM (SELECT *, median(v) OVER (PARTITION BY layer, feature) AS m FROM {long}) x GROUP BY layer, feature) t""",
     "group_separation": "SELECT round(sqrt(sum(d * d)), 6) AS centroid_distance FROM (SELECT avg(CASE WHEN diagnosis = 'AD' THEN v END) - avg(CASE WHEN diagnosis = 'control' THEN v END) AS d FROM {long} GROUP BY feature) t",
     "mask_confusion": f"SELECT image_id, {_METRICS} FROM (SELECT image_id, {_CELLS} FROM ({_TRUE}) t GROUP BY image_id) m",
     "fov_metrics": f"SELECT image_id, {_METRICS} FROM (SELECT image_id, {_CELLS} FROM ({_TRUE}) t WHERE f GROUP BY image_id) m",
@@ -90,11 +79,7 @@ SHARED: dict[str, str] = {
     "auroc": "SELECT round((sum(CASE WHEN y = 1 THEN r END) - n1 * (n1 + 1) / 2E0) / (1E0 * n1 * n0), 9) AS auroc FROM (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2E0 AS r, count(CASE WHEN y = 1 THEN 1 END) OVER () AS n1, count(CASE WHEN y = 0 THEN 1 END) OVER () AS n0 FROM {scores}) t GROUP BY n1, n0",
     "average_precision": "SELECT round(sum(1E0 * pos / n1 * tp / k), 6) AS average_precision FROM (SELECT pos, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(n) OVER (ORDER BY p DESC) AS k, sum(pos) OVER () AS n1 FROM (SELECT p, count(CASE WHEN y = 1 THEN 1 END) AS pos, count(*) AS n FROM {scores} GROUP BY p) g) t",
     "brier": "SELECT round(avg((p - y) * (p - y)), 9) AS brier FROM {scores}",
-    "calibration_bins": "SELECT CAST(bin AS BIGINT) AS bin, count(*) AS n, round(avg(1E0 * y), 9) AS rate, round(avg(p), 9) AS mean_p FROM (SELECT y, p, ntile(8) OVER (ORDER BY p, id) AS bin FROM {scores}) t GROUP BY bin",
     "prob_histogram": "SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, y, count(*) AS n FROM {scores} GROUP BY CAST(least(floor(p * 10), 9) AS INT), y",
-    "stratified_group_split": "SELECT grp, y, side, n FROM (SELECT grp, y, n, CASE WHEN row_number() OVER (PARTITION BY y ORDER BY md5(grp), grp) <= 0.25E0 * count(*) OVER (PARTITION BY y) THEN 'test' ELSE 'train' END AS side FROM (SELECT grp, y, count(*) AS n FROM {scores} WHERE grp IS NOT NULL AND y IS NOT NULL GROUP BY grp, y) g) t",
     "robust_scale_impute": "SELECT subject_id, layer, feature, round((coalesce(v, m) - m) / CASE WHEN q3 > q1 THEN q3 - q1 ELSE 1E0 END, 6) AS scaled FROM (SELECT l.subject_id, l.layer, l.feature, l.v, q.m, q.q1, q.q3 FROM {long} l JOIN (SELECT feature, percentile_cont(0.5) WITHIN GROUP (ORDER BY v) AS m, percentile_cont(0.25) WITHIN GROUP (ORDER BY v) AS q1, percentile_cont(0.75) WITHIN GROUP (ORDER BY v) AS q3 FROM {long} GROUP BY feature) q ON l.feature = q.feature) t",
-    "balanced_sample": "SELECT lang, source, doc_id, CAST(rn AS BIGINT) AS rn FROM (SELECT lang, source, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5(CAST(doc_id AS STRING)), doc_id) AS rn FROM {documents}) t WHERE rn <= 5",
-    "binary_target": "SELECT lang, CASE WHEN lang IN ('en', 'normal') THEN 0 ELSE 1 END AS target, count(*) AS n FROM {documents} WHERE lang IS NOT NULL AND trim(lang) <> '' GROUP BY lang",
     "path_parse_manifest": r"SELECT page_id, regexp_extract(url, '^https?://([^/]+)/', 1) AS host, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS split, regexp_extract(url, '/([0-9]+)', 1) AS image, lower(regexp_replace(url, '[^A-Za-z0-9]+', '')) = url AS plain FROM {pages}",
 }
