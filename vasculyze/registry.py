@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .operators import benchmark, contrasts, embeddings, inference, kernels, models, outliers, sampling
+from .operators import benchmark, contrasts, embeddings, feature_table, inference, kernels, models, outliers, sampling
 from .plans import extra
 from .plans.shared import SHARED
 from .sources import adapters
@@ -29,5 +29,5 @@ def _twin(text: str) -> str:
     return (f"WITH {head} " if head else "") + _NAME.sub(r"\1", text)
 
 
-QUERIES: dict = {name: _spark(text) for name, text in (SHARED | extra.SPARK).items()} | kernels.QUERIES | models.QUERIES | inference.QUERIES | outliers.QUERIES | embeddings.QUERIES | benchmark.QUERIES | contrasts.QUERIES | sampling.QUERIES
-ORACLE_SQL: dict = {name: _twin(text) for name, text in (SHARED | extra.TWINS).items()} | extra.KERNEL_TWINS | contrasts.ORACLE_SQL | sampling.ORACLE_SQL
+QUERIES: dict = {name: _spark(text) for name, text in (SHARED | extra.SPARK).items()} | kernels.QUERIES | models.QUERIES | inference.QUERIES | outliers.QUERIES | embeddings.QUERIES | benchmark.QUERIES | contrasts.QUERIES | sampling.QUERIES | feature_table.QUERIES
+ORACLE_SQL: dict = {name: _twin(text) for name, text in (SHARED | extra.TWINS).items()} | extra.KERNEL_TWINS | contrasts.ORACLE_SQL | sampling.ORACLE_SQL | feature_table.ORACLE_SQL
