@@ -44,32 +44,41 @@ def _uniform(*cols) -> F.Column:
     return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) + 0.5) / float(1 << 52)
 
 
+def _let(value, then) -> F.Column:
+    """then(value), with value computed once and named: an expression that says it twice would hold it twice."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _hypergeometric(n, k, m, u) -> F.Column:
     """Of m draws out of n of which k are marked: how many marked, at the quantile u, by summing the law outward from its mode.
 
     Weights relative to the mode's are carried by ratios of neighbours, over 12 deviations either side.
     """
-    lo, hi = F.greatest(F.lit(0), m + k - n), F.least(m, k)
-    mode = F.least(hi, F.greatest(lo, F.floor((m + 1) * (k + 1) / (n + 2)).cast("long")))
-    sd = F.sqrt(F.greatest(F.lit(1.0), m * (k / n) * (1 - k / n)))
-    reach = F.ceil(12 * sd).cast("long") + 3
-    first, last = F.greatest(lo, mode - reach), F.least(hi, mode + reach)
     start = lambda: F.struct(F.lit(1.0).alias("w"), F.array().cast("array<double>").alias("all"))
+    seq = lambda n_: F.when(n_ > 0, F.sequence(F.lit(1).cast("long"), n_)).otherwise(F.array().cast("array<bigint>"))
 
     def grow(ratio):
-        def step(acc, x):
-            w = acc["w"] * ratio(x)
-            return F.struct(w.alias("w"), F.concat(acc["all"], F.array(w)).alias("all"))
+        return lambda acc, x: _let(acc["w"] * ratio(x), lambda w: F.struct(w.alias("w"), F.concat(acc["all"], F.array(w)).alias("all")))
 
-        return step
+    def draw(law, b):
+        total = F.aggregate(law, F.lit(0.0), lambda a, x: a + x)
+        at = F.aggregate(law, F.struct((u * total).alias("left"), F.lit(0).cast("long").alias("i")), lambda a, x: F.struct((a["left"] - x).alias("left"), (a["i"] + F.when(a["left"] > x, 1).otherwise(0)).alias("i")))["i"]
+        return F.least(b["last"], b["first"] + at)
 
-    seq = lambda n_: F.when(n_ > 0, F.sequence(F.lit(1).cast("long"), n_)).otherwise(F.array().cast("array<bigint>"))
-    up = F.aggregate(seq(last - mode), start(), grow(lambda i: ((k - (mode + i - 1)) * (m - (mode + i - 1)) / ((mode + i) * (n - k - m + mode + i)).cast("double"))))["all"]
-    down = F.aggregate(seq(mode - first), start(), grow(lambda i: ((mode - i + 1) * (n - k - m + mode - i + 1) / ((k - mode + i) * (m - mode + i)).cast("double"))))["all"]
-    law = F.concat(F.reverse(down), F.array(F.lit(1.0)), up)
-    total = F.aggregate(law, F.lit(0.0), lambda a, x: a + x)
-    at = F.aggregate(law, F.struct((u * total).alias("left"), F.lit(0).cast("long").alias("i")), lambda a, x: F.struct((a["left"] - x).alias("left"), (a["i"] + F.when(a["left"] > x, 1).otherwise(0)).alias("i")))["i"]
-    return F.when((n <= 0) | (k <= 0) | (m <= 0), F.lit(0).cast("long")).otherwise(F.least(last, first + at))
+    def around(b):
+        mode = b["mode"]
+        up = F.aggregate(seq(b["last"] - mode), start(), grow(lambda i: (k - (mode + i - 1)) * (m - (mode + i - 1)) / ((mode + i) * (n - k - m + mode + i)).cast("double")))["all"]
+        down = F.aggregate(seq(mode - b["first"]), start(), grow(lambda i: (mode - i + 1) * (n - k - m + mode - i + 1) / ((k - mode + i) * (m - mode + i)).cast("double")))["all"]
+        return _let(F.concat(F.reverse(down), F.array(F.lit(1.0)), up), lambda law: draw(law, b))
+
+    def ends(b):
+        return _let(F.struct(b["mode"].alias("mode"), F.greatest(b["lo"], b["mode"] - b["reach"]).alias("first"), F.least(b["hi"], b["mode"] + b["reach"]).alias("last")), around)
+
+    lo, hi = F.greatest(F.lit(0).cast("long"), m + k - n), F.least(m, k)
+    mode = F.least(hi, F.greatest(lo, F.floor((m + 1) * (k + 1) / (n + 2)).cast("long")))
+    sd = F.sqrt(F.greatest(F.lit(1.0), m * (k / n) * (1 - k / n)))
+    some = _let(F.struct(lo.alias("lo"), hi.alias("hi"), mode.alias("mode"), (F.ceil(12 * sd).cast("long") + 3).alias("reach")), ends)
+    return F.when((n <= 0) | (k <= 0) | (m <= 0), F.lit(0).cast("long")).otherwise(some)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -90,7 +99,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def deal(acc, x):
             left = F.when(F.col("hi") - F.col("lo") < 2, x["quota"]).otherwise(_hypergeometric(acc["n"], x["quota"], acc["m"], _uniform(F.lit(seed), F.lit(level), F.col("lo"), x["h"])))
-            return F.struct((acc["n"] - x["quota"]).alias("n"), (acc["m"] - left).alias("m"), F.concat(acc["got"], F.array(left)).alias("got"))
+            return _let(left, lambda got: F.struct((acc["n"] - x["quota"]).alias("n"), (acc["m"] - got).alias("m"), F.concat(acc["got"], F.array(got)).alias("got")))
 
         got = F.aggregate("all", F.struct(F.col("n"), F.col("take").alias("m"), F.array().cast("array<bigint>").alias("got")), deal)["got"]
         both = node.withColumn("got", got).select("lo", "hi", "mid", F.explode(F.arrays_zip("all", "got")).alias("x"))
