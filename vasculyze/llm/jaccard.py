@@ -218,13 +218,15 @@ def _forest(near, n: int) -> list[tuple[int, int]]:
 def _compatible(percent: int):
     """A pair of blocks of a large class: trees of documents whose bitmaps and sizes leave a link possible."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, table):
         let_go()
         levels = Levels(percent)
-        pdf = pdf.drop_duplicates("node")
-        size, node = pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        node, at = np.unique(table["node"].to_numpy(), return_index=True)
+        size, column = table["n"].to_numpy()[at], table["bits"].combine_chunks()
+        del table
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        maps = [np.frombuffer(column.buffers()[2], np.uint64, (ends[i + 1] - ends[i]) // 8, ends[i]) for i in at.tolist()]
         own = np.fromiter(map(levels.of, size.tolist()), np.int64, len(size))
-        maps = [np.frombuffer(x, np.uint64) for x in pdf["bits"]]
         out = []
         for k in np.unique(own):
             at = np.flatnonzero((own == k) | ((own == k + 1) & (size <= levels.reach(levels.starts[k + 1] - 1))))
@@ -244,9 +246,10 @@ def _compatible(percent: int):
                 return hit
 
             out.extend((node[at[a]], node[at[b]]) for a, b in _forest(near, len(at)))
-        if len(pdf) > BLOCK_DOCS:
-            release()
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        del maps, column, ends
+        release()
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(np.array(a, np.int64)), "b": pa.array(np.array(b, np.int64))})
 
     return run
 
@@ -337,7 +340,7 @@ def _classes(docs: DataFrame, *, n: int, percent: int, key: str) -> DataFrame:
     large = sizes.groupBy("class").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("grams")).where((F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)).withColumn("blocks", F.ceil(F.col("docs") / BLOCK_MAPS).cast("int"))
     bits = rows.where("n > 0").select("node", "n", "bits").join(sizes.join(large.select("class", "blocks"), "class").select("node", "class", "blocks"), "node").dropDuplicates(["node"])
     bits = _in_pairs(bits.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))).select("class", "i", "j", "node", "n", "bits")
-    likely = components(bits.groupBy("class", "i", "j").applyInPandas(_compatible(percent), "a bigint, b bigint"))
+    likely = components(bits.groupBy("class", "i", "j").applyInArrow(_compatible(percent), "a bigint, b bigint"))
     parts = group.join(large.select("class", F.lit(True).alias("large")), "class", "left").join(likely, "node", "left")
     group = written(parts.select("node", F.when(F.col("large"), F.coalesce("component", "node")).otherwise(F.col("class")).alias("class")), "parts")
 
