@@ -417,6 +417,43 @@ def test_classes(spark, docs, none, n, percent, monkeypatch):
     assert jaccard.classes(none).count() == 0
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_common_fragments_lose_no_link(percent):
+    rng = np.random.default_rng(percent)
+    common = np.unique(rng.integers(0, 1 << 63, 60, np.int64)).view(np.uint64)
+    levels, linked = jaccard.Levels(percent, common), 0
+    for _ in range(4000):
+        size = int(rng.choice([1, 2, 4, 7, 12, 20, 35, 60, 150]))
+        own = rng.integers(0, 1 << 63, size, np.int64).view(np.uint64)
+        a = np.unique(np.concatenate([own, rng.choice(common, int(rng.integers(0, 61)), False)]))
+        # Some n-grams go, others come, common ones among both.
+        b = a[rng.random(len(a)) > rng.uniform(0, 0.4)]
+        more = np.concatenate([rng.integers(0, 1 << 63, size, np.int64).view(np.uint64), common])
+        b = np.unique(np.concatenate([b, rng.choice(more, int(rng.integers(0, 1 + size // 4)), False)]))
+        o = len(np.intersect1d(a, b))
+        if len(b) and o < max(len(a), len(b)) and 100 * o >= percent * (len(a) + len(b) - o):
+            linked += 1
+            (f, e), (g, h) = levels.signatures(a), levels.signatures(b)
+            assert len(np.intersect1d(f, g)) or len(np.intersect1d(e, h))
+    assert linked > 500
+
+
+def test_a_passage_that_many_quote_makes_no_class(spark):
+    rng = np.random.default_rng(5)
+    word = lambda k: " ".join(f"w{x}" for x in rng.integers(0, 5000, k))
+    passage = word(14)
+    texts = [f"{word(k)} {passage} {word(k)}" for k in (20, 60) for _ in range(400)]
+    common = jaccard.common_grams(spark.createDataFrame([(t,) for t in texts], "text string"), 5)
+    assert set(common.tolist()) == set(jaccard.Shingler(5)(passage).tolist())
+
+    def largest(levels, some):
+        sig = [np.unique(levels.signatures(jaccard.Shingler(5)(t))[0]) for t in some]
+        return np.unique(np.concatenate(sig), return_counts=True)[1].max()
+
+    for some in (texts[:400], texts[400:]):
+        assert largest(jaccard.Levels(80), some) > 200 and largest(jaccard.Levels(80, common), some) < 20
+
+
 def test_keep_one(spark, docs):
     kept = jaccard.keep_one(docs, n=5, percent=80)
     assert kept.columns == docs.columns

@@ -9,6 +9,10 @@ Fragments that are empty in both agree too, which says nothing. So m has spare f
 nearly ever has empty; sets that have still more empty ones also send those, and are compared apart, bucket by bucket.
 Where small sizes leave no room for that, the fragment is the order's prefix: its n-grams stand alone.
 
+Fragments of nothing but common n-grams (a passage that many texts quote) would make candidates of all who quote it. So m
+has a few more, and a set whose common fragments are so few leaves them out; sets with more keep them. Two sets that link
+agree on more fragments than one of them leaves out. In the prefix's order common n-grams come last. Which n-grams count as common is learnt from a sample of texts and changes the candidates' number, never the links.
+
 Candidates become classes by connected components, equal sets having been one node from the start. A class too large for
 one task is first broken up by an exact bound: sets keep a bitmap of the parities of their n-grams' hash buckets, and no
 two bitmaps differ in more bits than their sets in n-grams. In a class, overlaps are counted fragment by fragment over
@@ -34,6 +38,10 @@ from .common import components, let_go, release, small_batches, splitmix, tidy,
 #: A verifying task's documents and n-grams, and a bitmap task's documents, of each of two blocks; shared n-grams of a
 #: fragment; words remembered; rows held back.
 BLOCK_DOCS, BLOCK_GRAMS, BLOCK_MAPS, FRAGMENT, KNOWN_WORDS, HELD_ROWS = 1200, 1_000_000, 16_000, 4096, 200_000, 1_500_000
+#: Texts that common n-grams are learnt from, about; texts of these that hold a common one, at least; common ones, at most.
+SAMPLE, COMMON_TEXTS, MOST_COMMON = 16_000, 8, 100_000
+#: Common fragments that a set may leave out: so many, and this share of those that may differ.
+OUT_LEAST, OUT_SHARE = 3, 0.05
 
 
 class _Hashes(dict):
@@ -65,8 +73,13 @@ class Shingler:
 class Levels:
     """Size levels for a threshold of `percent`: level k holds sizes from starts[k]; none links beyond the middle of the next."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, common: np.ndarray | None = None):
         self.percent, self.starts, self._m, self._cuts = percent, [1], {}, {}
+        #: By the low bits of an n-gram, so that one in some hundreds counts as common by chance; None if nothing is.
+        self.common = None
+        if common is not None and len(common):
+            self.common = np.zeros(1 << 22, np.bool_)
+            self.common[(common & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def reach(self, size: int) -> int:
         """The largest size that can link with this."""
@@ -86,21 +99,31 @@ class Levels:
         k = self.of(size)
         return [k, k - 1] if k and self.reach(self.starts[k] - 1) >= size else [k]
 
-    def fragments(self, k: int) -> tuple[int, int]:
-        """m and the spare ones among them; (0, 0) where the prefix serves, (1, 0) where only equal sets link."""
+    def fragments(self, k: int) -> tuple[int, int, int]:
+        """m, the spare ones among them, and common ones that a set may leave out; m is 0 where the prefix serves, 1 where only equal sets link."""
         if k not in self._m:
             a = self.starts[k + 1] - 1
             least = self.differ(a + self.reach(a)) + 1
-            n, m, self._m[k] = self.starts[k], least, (0, 0)
+            n = self.starts[k]
+            out = OUT_LEAST + int(OUT_SHARE * least) if self.common is not None else 0
+            m, self._m[k] = least + out, (0, 0, 0)
             for _ in range(12):
                 empty = m * (1 - 1 / m) ** n
-                more = least + math.ceil(empty + 3 * math.sqrt(empty))
-                if least == 1 or more == m:
-                    self._m[k] = (m, m - least)
+                more = least + out + math.ceil(empty + 3 * math.sqrt(empty))
+                if least == 1:
+                    self._m[k] = (1, 0, 0)
+                    break
+                if more == m:
+                    self._m[k] = (m, m - least - out, out)
                     break
                 m = more
         return self._m[k]
 
+    def is_common(self, grams: np.ndarray) -> np.ndarray:
+        if self.common is None:
+            return np.zeros(len(grams), np.bool_)
+        return self.common[(grams & np.uint64(len(self.common) - 1)).astype(np.int64)]
+
     def cuts(self, m: int) -> np.ndarray:
         if m not in self._cuts:
             self._cuts[m] = np.array([(i << 64) // m for i in range(1, m)], np.uint64)
@@ -108,20 +131,24 @@ class Levels:
 
     def signatures(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of a set: a hash for each fragment that holds something, and for each empty one where they are too many, by level."""
-        n = len(grams)
+        n, common = len(grams), self.is_common(grams)
+        upto = np.concatenate([[0], np.cumsum(common)])
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(splitmix(grams), dtype=np.uint64)])
         full, empty = [NONE], [NONE]
         for k in self.taken(n):
-            m, spare = self.fragments(k)
+            m, spare, out = self.fragments(k)
             if m == 1:
                 continue
             if not m:
-                full.append(splitmix(grams[: n - -(-n * self.percent // 100) + 1] ^ splitmix(np.array([k + (1 << 60)], np.uint64))))
+                front = np.concatenate([grams[~common], grams[common]])[: n - -(-n * self.percent // 100) + 1]
+                full.append(splitmix(front ^ splitmix(np.array([k + (1 << 60)], np.uint64))))
                 continue
             at = np.concatenate([[0], np.searchsorted(grams, self.cuts(m)), [n]])
             name = np.arange(m, dtype=np.uint64) + np.uint64(k << 40)
             holds = at[1:] > at[:-1]
-            full.append(splitmix((total[at[1:]] - total[at[:-1]]) ^ splitmix(name))[holds])
+            quoted = holds & (upto[at[1:]] - upto[at[:-1]] == at[1:] - at[:-1])
+            sent = holds if quoted.sum() > out else holds & ~quoted
+            full.append(splitmix((total[at[1:]] - total[at[:-1]]) ^ splitmix(name))[sent])
             if m - holds.sum() > spare:
                 empty.append(splitmix(name[~holds]))
         return np.concatenate(full), np.concatenate(empty)
@@ -157,12 +184,33 @@ def _documents(n: int, percent: int):
     return tidy(run)
 
 
-def _signatures(n: int, percent: int):
+def _grams(n: int):
+    """Texts -> the n-grams of each, once."""
+
+    def run(batches):
+        shingle = Shingler(n)
+        for b in batches:
+            sets = [shingle(x.as_py()) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([NONE, *sets]).view(np.int64))], names=["gram"])
+
+    return tidy(run)
+
+
+def common_grams(docs: DataFrame, n: int) -> np.ndarray:
+    """Hashes of n-grams that many texts hold, ascending: from about SAMPLE texts, the same in each run, equal ones counted once."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    found = some.mapInArrow(_grams(n), "gram bigint").groupBy("gram").count().where(F.col("count") >= COMMON_TEXTS)
+    rows = found.orderBy(F.desc("count"), "gram").limit(MOST_COMMON).select("gram").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
+def _signatures(n: int, percent: int, common: np.ndarray | None = None):
     """Texts -> (sig, node, empty): of equal fragments within a task one row goes on, and the others as links to it,
     each link being a signature of its own that two rows have."""
 
     def run(batches):
-        shingle, levels = Shingler(n), Levels(percent)
+        shingle, levels = Shingler(n), Levels(percent, common)
         held, count, gone = [], 0, set()
 
         def rows(sig, node, empty):
@@ -330,7 +378,7 @@ def _classes(docs: DataFrame, *, n: int, percent: int, key: str) -> DataFrame:
 
     # Each task gave one row per fragment (and links as pairs), so a group here has as many rows as there were tasks, at most.
     w = Window.partitionBy("sig")
-    sigs = docs.select("text").mapInArrow(_signatures(n, percent), "sig bigint, node bigint, empty boolean")
+    sigs = docs.select("text").mapInArrow(_signatures(n, percent, common_grams(docs, n)), "sig bigint, node bigint, empty boolean")
     agree = sigs.select("sig", "node", "empty", F.min("node").over(w).alias("least"), F.max("node").over(w).alias("most"))
     agree = written(agree.where("least <> most and (empty or node <> least)"), "agreeing")
     group = written(components(agree.where("not empty"), "node", "least").select("node", F.col("component").alias("class")), "classes")
