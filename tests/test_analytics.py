@@ -191,6 +191,28 @@ def test_maps(spark):
         E.automated_avr()
 
 
+def test_separation_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.normal(0, 1, (120, 2)), 1)
+    g = rng.random(120) < 0.4
+    p[g] += 0.3
+    p[:9], g[:9] = p[0], [True] * 4 + [False] * 5
+    df = spark.createDataFrame([(float(a), float(b), "AD" if k else "control") for (a, b), k in zip(p, g)], "component_1 double, component_2 double, diagnosis string")
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    own = np.array([d[i, g == g[i]].sum() / ((g == g[i]).sum() - 1) for i in range(120)])
+    far = np.array([d[i, g != g[i]].mean() for i in range(120)])
+    gap = lambda s: np.linalg.norm(p[s].mean(0) - p[~s].mean(0))
+    plain = np.mean([gap(rng.permutation(g)) >= gap(g) for _ in range(4000)])
+    for block in (8192, 17):
+        monkeypatch.setattr(E, "BLOCK", block)
+        (r,) = E.group_separation(df, n_permutations=1000).collect()
+        assert (r.n_group_a, r.n_group_b) == (g.sum(), (~g).sum()) and abs(r.centroid_distance - gap(g)) < 1e-9
+        assert abs(r.silhouette_score - ((far - own) / np.maximum(own, far)).mean()) < 1e-9 and abs(r.p_value - plain) < 0.05
+        assert E.group_separation(df, n_permutations=1000).collect() == [r]
+    (r,) = E.group_separation(df.where("diagnosis = 'AD'")).collect()
+    assert r.n_group_b == 0 and r.p_value is None and r.silhouette_score is None
+
+
 def test_validation(spark):
     from vasculyze.operators import validation as V
 

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +36,23 @@ def prepare(df: DataFrame, features, scaler: str = "robust") -> tuple[DataFrame,
     return v.withColumns({f"x__{f}": (F.col(f"x__{f}") - F.lit(center[f])) / F.lit(scale[f]) for f in features}), facts
 
 
-def silhouette(points: np.ndarray, side: np.ndarray, block: int = 512) -> float:
-    """Mean silhouette of two groups by Euclidean distance, a block of rows at a time; a lone point counts 0."""
-    n = np.array([(side == g).sum() for g in (0, 1)], float)
-    out = np.zeros(len(points))
-    for i in range(0, len(points), block):
-        d = np.sqrt(((points[i : i + block, None] - points[None]) ** 2).sum(2))
-        sums, s = np.stack([d[:, side == g].sum(1) for g in (0, 1)], 1), side[i : i + block]
-        rows = np.arange(len(s))
-        own, other = sums[rows, s] / np.maximum(n[s] - 1, 1), sums[rows, 1 - s] / np.maximum(n[1 - s], 1)
-        top = np.maximum(own, other)
-        out[i : i + block] = np.where((n[s] > 1) & (top > 0), (other - own) / np.where(top > 0, top, 1), 0)
-    return float(out.mean())
+#: Different points of a block; squares of them are what a task measures at once.
+BLOCK = 8192
+
+
+def _distances(p: np.ndarray, q: np.ndarray, wp: np.ndarray, wq: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """For each point of p the summed distance to the points of q by their weights (a column a group), and the same for q."""
+    to_p, to_q = np.empty((len(p), 2)), np.zeros((len(q), 2))
+    for i in range(0, len(p), step):
+        d = p[i : i + step, :1] - q[:, 0]
+        d *= d
+        e = p[i : i + step, 1:] - q[:, 1]
+        e *= e
+        d += e
+        np.sqrt(d, out=d)
+        to_p[i : i + step] = d @ wq
+        to_q += d.T @ wp[i : i + step]
+    return to_p, to_q
 
 
 def coordinate_columns(df: DataFrame) -> list[str]:
@@ -60,23 +66,73 @@ def coordinate_columns(df: DataFrame) -> list[str]:
 
 
 def group_separation(coords: DataFrame, label: str = "diagnosis", n_permutations: int = 1000, random_state: int = 0) -> DataFrame:
-    """One row: sizes, distance of the groups' centroids, its permutation p, silhouette. The table of subjects' coordinates (two
-    doubles each) is held by one task, as the permutations need it whole."""
+    """One row: sizes, distance of the groups' centroids, its permutation p, silhouette by Euclidean distance (a lone point counts 0).
+
+    Equal points are one with weights. Blocks of different points are permuted on their own once it is drawn how many of group AD
+    fall into each, and every pair of blocks is a task of the silhouette's, so no task grows with the table; the silhouette
+    takes time by the square of the different points."""
     x, y = coordinate_columns(coords)
-    rows = coords.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), normalize_diagnosis(F.col(label)).alias("g"), F.lit(0).alias("k")).where("g <> 'unknown'")
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["g", "x", "y"], kind="stable")
-        p, a = pdf[["x", "y"]].to_numpy(), (pdf["g"] == "AD").to_numpy()
-        n, m = int(a.sum()), int((~a).sum())
-        if not n or not m:
-            return pd.DataFrame([[n, m, None, n_permutations, None, None]])
-        gap = lambda s: float(np.linalg.norm(p[s].mean(0) - p[~s].mean(0)))
-        seen, rng = gap(a), np.random.default_rng(random_state)
-        extreme = sum(gap(rng.permutation(a)) >= seen for _ in range(n_permutations))
-        return pd.DataFrame([[n, m, seen, n_permutations, (extreme + 1) / (n_permutations + 1), silhouette(p, a.astype(int)) if n + m >= 3 else None]])
-
-    return rows.groupBy("k").applyInPandas(measure, "n_group_a long, n_group_b long, centroid_distance double, n_permutations int, p_value double, silhouette_score double")
+    rows = coords.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), normalize_diagnosis(F.col(label)).alias("g")).where("g <> 'unknown'")
+    points = rows.groupBy("x", "y").agg(F.count_if(F.col("g") == "AD").alias("a"), F.count_if(F.col("g") != "AD").alias("b"))
+    points = points.withColumn("h", F.xxhash64("x", "y")).persist(StorageLevel.DISK_ONLY)
+    try:
+        blocks = max(1, -(-points.count() // BLOCK))
+        return _separation(points.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")), blocks, n_permutations, random_state)
+    finally:
+        points.unpersist()
+
+
+def _separation(points: DataFrame, blocks: int, n_permutations: int, random_state: int) -> DataFrame:
+    spark = points.sparkSession
+    schema = "n_group_a long, n_group_b long, centroid_distance double, n_permutations int, p_value double, silhouette_score double"
+    sums = points.groupBy("block").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("block").toPandas()
+    n, m = int(sums["a"].sum()), int(sums["b"].sum())
+    if not n or not m:
+        return spark.createDataFrame([(n, m, None, n_permutations, None, None)], schema)
+    # Of how many the blocks have in each permutation, those of group AD; the first row is as it is.
+    drawn = np.random.default_rng(random_state).multivariate_hypergeometric((sums["a"] + sums["b"]).to_numpy(), n, n_permutations, method="marginals")
+    share = dict(zip(sums["block"].tolist(), drawn.T))
+    mean = points.agg((F.sum(F.col("x") * (F.col("a") + F.col("b"))) / (n + m)).alias("x"), (F.sum(F.col("y") * (F.col("a") + F.col("b"))) / (n + m)).alias("y")).head()
+
+    def permuted(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"], kind="stable")
+        p, a, w = pdf[["x", "y"]].to_numpy() - np.array([mean["x"], mean["y"]]), pdf["a"].to_numpy(), (pdf["a"] + pdf["b"]).to_numpy()
+        rng = np.random.default_rng([random_state, int(key[0])])
+        alone = bool((w == 1).all())
+        out = [a.astype(float) @ p]
+        for k in share[int(key[0])]:
+            out.append(p[rng.permutation(len(w))[:k]].sum(0) if alone else rng.multivariate_hypergeometric(w, k, method="marginals").astype(float) @ p)
+        out = np.array(out)
+        return pd.DataFrame({"k": np.arange(len(out)), "block": int(key[0]), "x": out[:, 0], "y": out[:, 1]})
+
+    moved = points.groupBy("block").applyInPandas(permuted, "k int, block int, x double, y double")
+    # Centroids are apart by (1/n + 1/m) times the sum of group AD about the mean; equal splits may differ in the last bits.
+    t = moved.groupBy("k").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).orderBy("k").toPandas()
+    gap = np.hypot(t["x"], t["y"]).to_numpy() * (1 / n + 1 / m)
+    p_value = (int((gap[1:] >= gap[0] * (1 - 1e-9)).sum()) + 1) / (n_permutations + 1)
+    score = None
+    if n + m >= 3:
+        score = _silhouette(points, blocks, n, m)
+    return spark.createDataFrame([(n, m, float(gap[0]), n_permutations, p_value, score)], schema)
+
+
+def _silhouette(points: DataFrame, blocks: int, n: int, m: int) -> float:
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = points.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+
+    def measured(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "y"], kind="stable")
+        i, j = (pdf[pdf["block"] == k] for k in key)
+        at = [v[["x", "y"]].to_numpy() for v in (i, j)]
+        w = [v[["a", "b"]].to_numpy().astype(float) for v in (i, j)]
+        to_i, to_j = _distances(*at, *w)
+        both, d = (i, to_i) if key[0] == key[1] else (pd.concat([i, j]), np.concatenate([to_i, to_j]))
+        return pd.DataFrame({"x": both["x"].to_numpy(), "y": both["y"].to_numpy(), "a": both["a"].to_numpy(), "b": both["b"].to_numpy(), "da": d[:, 0], "db": d[:, 1]})
+
+    d = pairs.select("i", "j", "block", "x", "y", "a", "b").groupBy("i", "j").applyInPandas(measured, "x double, y double, a bigint, b bigint, da double, db double")
+    d = d.groupBy("x", "y").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.sum("da").alias("da"), F.sum("db").alias("db"))
+    one = lambda own, far, size, rest: F.lit(0.0) if size < 2 else F.when(F.greatest(F.col(own) / (size - 1), F.col(far) / rest) > 0, (F.col(far) / rest - F.col(own) / (size - 1)) / F.greatest(F.col(own) / (size - 1), F.col(far) / rest)).otherwise(0.0)
+    return d.agg((F.sum(F.col("a") * one("da", "db", n, m) + F.col("b") * one("db", "da", m, n)) / (n + m)).alias("s")).head()["s"]
 
 
 def perplexity(n: int) -> int:
