@@ -23,7 +23,7 @@ from .common import bucket_of, kept, ordered_buckets, partitions, running_total,
 MAGIC = b"VTOK1\0\0\0"
 HEAD = struct.Struct("<8sQQQIIq")
 #: Ids of a shard, from which it is closed; entries of the table of known words, from which it is emptied; buckets of the key order at most.
-SHARD_IDS, KNOWN_WORDS, MOST_BUCKETS = 1 << 20, 400_000, 20_000
+SHARD_IDS, KNOWN_WORDS, MOST_BUCKETS = 1 << 20, 800_000, 20_000
 NO_KEY = -(1 << 63)
 
 
@@ -163,6 +163,9 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
         self.stops = {c: self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".,"}
+        vocab = self.tok.get_vocab()
+        self.blank = np.zeros(max(vocab.values()) + 1, np.bool_)
+        self.blank[[i for x, i in vocab.items() if x[0] == "\u0120"]] = True
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.known = _Known()
         self.flat, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -188,6 +191,16 @@ class Encoder:
             raise ValueError("the tokenizer does not keep line ends apart")
         return np.delete(flat, cut), np.diff(np.concatenate([[-1], cut, [len(flat)]])) - 1
 
+    def _blanks(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words that have a blank before them, encoded as one text without line ends: only a word's first id begins with a blank."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        flat = np.array(self._raw([" " + " ".join(words)])[0], np.uint32)
+        first = np.flatnonzero(self.blank[flat])
+        if len(first) != len(words) or first[0]:
+            return self._lines(words)
+        return flat, np.diff(np.append(first, len(flat)))
+
     def _learn(self) -> None:
         """Ids of the new words, in their order. A full stop or comma that ends a word after a letter is a piece of its own."""
         words, self.known.new = self.known.new, []
@@ -197,12 +210,17 @@ class Encoder:
         stems = [w[:-1] if t else w for w, t in zip(words, tail)]
         have, old = self.known.get, len(self.sizes)
         seen = np.array([n if t and (n := have(x, old)) < old else -1 for x, t in zip(stems, tail)], np.int64)
-        flat, sizes = self._lines([x for x, n in zip(stems, seen.tolist()) if n < 0])
+        fresh = [x for x, n in zip(stems, seen.tolist()) if n < 0]
+        marked = np.fromiter((x[0] < "\2" for x in fresh), np.bool_, len(fresh))
+        (flat, sizes), (more, most) = self._blanks([x for x in fresh if x[0] > "\1"]), self._lines([x for x in fresh if x[0] < "\2"])
+        flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, most])
         # All stems' ids behind the old ones; then each word's, with line end and stop.
         pool = np.concatenate([self.flat, flat, np.array([self.line, self.stops["."], self.stops[","]], np.uint32)])
         start = np.cumsum(np.concatenate([self.sizes, sizes])) - np.concatenate([self.sizes, sizes])
         at = seen.copy()
-        at[seen < 0] = old + np.arange(len(sizes))
+        place = np.empty(len(fresh), np.int64)
+        place[np.argsort(marked, kind="stable")] = np.arange(len(fresh))
+        at[seen < 0] = old + place
         n = np.concatenate([self.sizes, sizes])[at]
         before = np.fromiter((w[0] == "\0" for w in words), np.bool_, len(words)) & (seen < 0)
         stop = np.fromiter((0 if not t else 1 if w[-1] == "." else 2 for w, t in zip(words, tail)), np.int64, len(words))
