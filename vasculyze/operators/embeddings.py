@@ -37,10 +37,10 @@ def prepare(df: DataFrame, features, scaler: str = "robust") -> tuple[DataFrame,
 
 
 #: Different points of a block; squares of them are what a task measures at once.
-BLOCK = 8192
+BLOCK = 65_536
 
 
-def _distances(p: np.ndarray, q: np.ndarray, wp: np.ndarray, wq: np.ndarray, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+def _distances(p: np.ndarray, q: np.ndarray, wp: np.ndarray, wq: np.ndarray, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """For each point of p the summed distance to the points of q by their weights (a column a group), and the same for q."""
     to_p, to_q = np.empty((len(p), 2)), np.zeros((len(q), 2))
     for i in range(0, len(p), step):
