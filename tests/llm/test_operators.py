@@ -337,6 +337,42 @@ def test_token_shards(spark, docs, none):
     assert tokenbin.read_shards(tokenbin.write_shards(none, path)).count() == 0
 
 
+def encoder_texts(n, words):
+    rng = np.random.default_rng(5)
+    some = np.array([f"{'x' * (i % 7)}word{i}{'.' * (i % 5 == 0)}" for i in range(3000)])
+    return [" ".join(rng.choice(some, words).tolist()) for _ in range(n)]
+
+
+def test_encoder_forgets_words(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenbin, "KNOWN_WORDS", 500)
+    enc = tokenbin.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [x.replace(" word", "\nword") for x in encoder_texts(40, 60)]
+    texts = [*texts[:20], None, "", "a  b", *texts[20:], *texts[:20]]
+    for _ in range(3):
+        for some in (texts[:30], texts[30:]):
+            got = list(enc.encode(some))
+            assert [x.tolist() for x in got] == [[*enc.tok.encode(t or "", add_special_tokens=False).ids, 0] for t in some]
+            assert len(enc.known) == enc.n_words and enc.sizes[: enc.n_words].sum() == enc.n_ids
+
+
+def test_encoder_memory():
+    """A batch's words are not all held at once: what encoding takes does not grow with the batch."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    enc = tokenbin.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = encoder_texts(500, 1000)
+    tracemalloc.start()
+    try:
+        n = sum(len(x) for x in enc.encode(texts))
+        assert n > 500_000 and tracemalloc.get_traced_memory()[1] < 25_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_index_is_minimal_and_perfect():
     keys = np.random.default_rng(0).integers(-(1 << 62), 1 << 62, 5000)
     assert sorted(tokenbin.Index.build(keys).slots(keys).tolist()) == list(range(5000))

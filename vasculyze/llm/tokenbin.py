@@ -10,20 +10,24 @@ for executors have no common file system but Spark's.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, kept, ordered_buckets, partitions, running_total, small_batches, splitmix, tidy, written
+from .common import bucket_of, kept, ordered_buckets, partitions, release, running_total, small_batches, splitmix, tidy, written
 
 MAGIC = b"VTOK1\0\0\0"
 HEAD = struct.Struct("<8sQQQIIq")
 #: Ids of a shard, from which it is closed; entries of the table of known words, from which it is emptied; buckets of the key order at most.
 SHARD_IDS, KNOWN_WORDS, MOST_BUCKETS = 1 << 20, 800_000, 20_000
+#: Characters of the texts whose words are held as objects at once; a longer text is taken alone.
+HELD_CHARS = 1 << 19
 NO_KEY = -(1 << 63)
 
 
@@ -140,8 +144,8 @@ def cuttable(text: str) -> bool:
 class _Known(dict):
     """Words to numbers; a word that is met for the first time gets the next number and waits in `new`."""
 
-    def __init__(self, *a):
-        super().__init__(*a)
+    def __init__(self):
+        super().__init__()
         self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
@@ -150,14 +154,40 @@ class _Known(dict):
         return n
 
 
+def _portions(texts: list[str | None]):
+    """The texts in their order, in lists of HELD_CHARS characters at most or one longer text."""
+    held, n = [], 0
+    for x in texts:
+        size = len(x or "")
+        if held and n + size > HELD_CHARS:
+            yield held
+            held, n = [], 0
+        held.append(x)
+        n += size
+    if held:
+        yield held
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """x, or its entries in a longer array, so that n have room."""
+    if len(x) >= n:
+        return x
+    out = np.zeros(max(n, len(x) * 3 // 2), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library, each distinct word once.
 
     Words are what stands between blanks; \\1 before a word marks the first of a text, \\0 one after a line end, and
-    any other has its blank before it.
+    any other has its blank before it. The first n_words of starts, sizes and hits are the known words', in the order
+    of their numbers, and the first n_ids of flat their ids; the rest is room.
     """
 
     def __init__(self, path: str):
+        # Batches are of one text: the library's threads would only keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -166,17 +196,24 @@ class Encoder:
         vocab = self.tok.get_vocab()
         self.blank = np.zeros(max(vocab.values()) + 1, np.bool_)
         self.blank[[i for x, i in vocab.items() if x[0] == "\u0120"]] = True
-        self.wide = self.tok.get_vocab_size() > 1 << 16
+        self.wide = len(self.blank) > 1 << 16
         self.known = _Known()
-        self.flat, self.sizes, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n_words = self.n_ids = 0
+        self.flat = np.zeros(0, np.uint32 if self.wide else np.uint16)
+        self.starts, self.sizes, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def forget(self) -> None:
         """Keeps the words that were met most, half of the table at most."""
-        least = max(2, int(np.partition(self.hits, -(KNOWN_WORDS // 2))[-(KNOWN_WORDS // 2)]) + 1)
-        stay = self.hits >= least
-        self.known = _Known((w, i) for i, w in enumerate(w for w, yes in zip(self.known, stay.tolist()) if yes))
-        self.flat = self.flat[np.repeat(stay, self.sizes)]
-        self.sizes, self.hits = self.sizes[stay], self.hits[stay]
+        sizes, hits = self.sizes[: self.n_words], self.hits[: self.n_words]
+        least = max(2, int(np.partition(hits, -(KNOWN_WORDS // 2))[-(KNOWN_WORDS // 2)]) + 1)
+        stay = hits >= least
+        words = list(compress(self.known, stay.tolist()))
+        self.known.clear()
+        self.known.update(zip(words, range(len(words))))
+        self.flat = self.flat[: self.n_ids][np.repeat(stay, sizes)]
+        self.sizes, self.hits = sizes[stay], hits[stay]
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        self.n_words, self.n_ids = len(self.sizes), len(self.flat)
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -208,57 +245,67 @@ class Encoder:
             return
         tail = [w[-1] in ".," and len(w) > 1 and w[-2].isalpha() for w in words]
         stems = [w[:-1] if t else w for w, t in zip(words, tail)]
-        have, old = self.known.get, len(self.sizes)
+        have, old, ids = self.known.get, self.n_words, self.n_ids
         seen = np.array([n if t and (n := have(x, old)) < old else -1 for x, t in zip(stems, tail)], np.int64)
         fresh = [x for x, n in zip(stems, seen.tolist()) if n < 0]
         marked = np.fromiter((x[0] < "\2" for x in fresh), np.bool_, len(fresh))
         (flat, sizes), (more, most) = self._blanks([x for x in fresh if x[0] > "\1"]), self._lines([x for x in fresh if x[0] < "\2"])
         flat, sizes = np.concatenate([flat, more]), np.concatenate([sizes, most])
-        # All stems' ids behind the old ones; then each word's, with line end and stop.
-        pool = np.concatenate([self.flat, flat, np.array([self.line, self.stops["."], self.stops[","]], np.uint32)])
-        start = np.cumsum(np.concatenate([self.sizes, sizes])) - np.concatenate([self.sizes, sizes])
-        at = seen.copy()
+        # All stems' ids behind the old ones, where then each word's own stand, with line end and stop.
+        stop_at = ids + len(flat)
+        self.flat = _room(self.flat, stop_at + 3)
+        self.flat[ids:stop_at], self.flat[stop_at : stop_at + 3] = flat, (self.line, self.stops["."], self.stops[","])
         place = np.empty(len(fresh), np.int64)
         place[np.argsort(marked, kind="stable")] = np.arange(len(fresh))
-        at[seen < 0] = old + place
-        n = np.concatenate([self.sizes, sizes])[at]
+        start, n = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        start[seen < 0], n[seen < 0] = ids + (np.cumsum(sizes) - sizes)[place], sizes[place]
+        start[seen >= 0], n[seen >= 0] = self.starts[seen[seen >= 0]], self.sizes[seen[seen >= 0]]
         before = np.fromiter((w[0] == "\0" for w in words), np.bool_, len(words)) & (seen < 0)
         stop = np.fromiter((0 if not t else 1 if w[-1] == "." else 2 for w, t in zip(words, tail)), np.int64, len(words))
         total = n + before + (stop > 0)
         upto = np.cumsum(total)
-        pick = np.repeat(start[at] - (upto - total) - before, total) + np.arange(upto[-1])
-        pick[(upto - total)[before]] = len(pool) - 3
-        pick[upto[stop > 0] - 1] = len(pool) - 3 + stop[stop > 0]
-        self.flat, self.sizes = np.concatenate([self.flat, pool[pick]]), np.concatenate([self.sizes, total])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        pick = np.repeat(start - (upto - total) - before, total) + np.arange(upto[-1])
+        pick[(upto - total)[before]] = stop_at
+        pick[upto[stop > 0] - 1] = stop_at + stop[stop > 0]
+        own = self.flat[pick]
+        self.n_words, self.n_ids = old + len(words), ids + len(own)
+        self.flat = _room(self.flat, self.n_ids)
+        self.flat[ids : self.n_ids] = own
+        self.starts, self.sizes, self.hits = (_room(x, self.n_words) for x in (self.starts, self.sizes, self.hits))
+        self.starts[old : self.n_words], self.sizes[old : self.n_words], self.hits[old : self.n_words] = ids + upto - total, total, 0
+
+    def encode(self, texts: list[str | None]):
         """Ids of each text and the end id 0."""
+        for some in _portions(texts):
+            yield from self._portion(some)
+
+    def _portion(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > KNOWN_WORDS:
             self.forget()
         out: list[np.ndarray | None] = [None] * len(texts)
         words, ends, docs = [], [], []
         for i, x in enumerate(texts):
             if not x:
-                out[i] = np.zeros(1, np.uint32)
+                out[i] = np.zeros(1, self.flat.dtype)
             elif not cuttable(x):
-                out[i] = np.array([*self._raw([x])[0], 0], np.uint32)
+                out[i] = np.array([*self._raw([x])[0], 0], self.flat.dtype)
             else:
                 words += ("\1" + x.replace("\n", " \0")).split(" ")
                 ends.append(len(words))
                 docs.append(i)
         if docs:
             k = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            del words
             self._learn()
             n = self.sizes[k]
-            upto = np.cumsum(n)
-            at = np.repeat((np.cumsum(self.sizes) - self.sizes)[k] - (upto - n), n)
+            upto = np.cumsum(n, dtype=np.int64)
+            at = np.repeat(self.starts[k] - (upto - n), n)
             at += np.arange(upto[-1])
             ids = self.flat[at]
-            self.hits += np.bincount(k, minlength=len(self.hits))
+            np.add.at(self.hits, k, 1)
             a = 0
             for i, z in zip(docs, upto[np.array(ends) - 1].tolist()):
-                out[i] = np.append(ids[a:z], np.uint32(0))
+                out[i] = np.append(ids[a:z], self.flat.dtype.type(0))
                 a = z
         return out
 
@@ -296,6 +343,8 @@ def write_shards(docs: DataFrame, path: str, key: str = "doc_id", batch: int = 1
                     keys.append(k)
                     ids.append(x)
                     n += len(x)
+                # Else what encoding needed for a moment stays with the worker while the next words come.
+                release()
         if keys:
             yield close()
 
